@@ -235,54 +235,45 @@ def bars_since_higher(x, n: int, **k) -> Column:
     return F.when(cur.isNotNull() & (F.size(past) > 0), (F.size(past) - F.coalesce(hit, F.lit(0))) / F.lit(float(n)))
 
 
-def hurst(x, n: int = 60, divisions=(2, 4, 8), **k) -> Column:
-    """Rescaled-range exponent: slope of ln(R/S) on ln(length) over splits of the window, clipped to [0,1]."""
-    arr = _window_list(x, n, **k)
+def _rescaled_range(sub: Column, length: int) -> Column:
+    """Range of the cumulated deviations over the population deviation; NULL for a flat piece."""
+    mean = F.aggregate(sub, F.lit(0.0), lambda a, v: a + v) / F.lit(float(length))
+    piece = F.array(F.struct(sub.alias("v"), mean.alias("m")))
+
+    def one(s):
+        start = F.struct(F.lit(0.0).alias("c"), F.lit(-1e30).alias("hi"), F.lit(1e30).alias("lo"), F.lit(0.0).alias("q"))
+
+        def step(a, v):
+            dev = v - s["m"]
+            c = a["c"] + dev
+            return F.struct(
+                c.alias("c"), F.greatest(a["hi"], c).alias("hi"), F.least(a["lo"], c).alias("lo"), (a["q"] + dev * dev).alias("q")
+            )
+
+        def done(a):
+            return F.try_divide(a["hi"] - a["lo"], F.nullif(F.sqrt(a["q"] / F.lit(float(length))), F.lit(0.0)))
 
-    def rs(sub, length):
-        stats = F.array(F.struct(sub.alias("v"), (F.aggregate(sub, F.lit(0.0), lambda a, v: a + v) / length).alias("m")))
-
-        def one(s):
-            start = F.struct(F.lit(0.0).alias("c"), F.lit(-1e30).alias("hi"), F.lit(1e30).alias("lo"), F.lit(0.0).alias("q"))
-
-            def step(a, v):
-                dev = v - s["m"]
-                c = a["c"] + dev
-                return F.struct(
-                    c.alias("c"), F.greatest(a["hi"], c).alias("hi"), F.least(a["lo"], c).alias("lo"), (a["q"] + dev * dev).alias("q")
-                )
-
-            def done(a):
-                sd = F.sqrt(a["q"] / length)
-                return F.when(sd > 1e-10, F.try_divide(a["hi"] - a["lo"], sd))
-
-            return F.aggregate(s["v"], start, step, done)
-
-        return F.transform(stats, one)[0]
-
-    points = []
-    for div in divisions:
-        length = n // div
-        if length < 4:
-            continue
-        vals = F.filter(
-            F.transform(F.sequence(F.lit(0), F.lit(div - 1)), lambda d, length=length: rs(F.slice(arr, d * length + 1, length), length)),
-            lambda v: v.isNotNull(),
-        )
-        mean = F.try_divide(F.aggregate(vals, F.lit(0.0), lambda a, v: a + v), F.size(vals).cast("double"))
-        points.append(F.struct(F.lit(math.log(length)).alias("x"), F.when(mean > 0, F.log(mean)).alias("y")))
-    pts = F.filter(F.array(*points), lambda q: q["y"].isNotNull())
-    acc0 = F.struct(*[F.lit(0.0).alias(c) for c in ("n", "sx", "sy", "sxy", "sxx")])
-
-    def add(a, q):
-        return F.struct(
-            (a["n"] + 1).alias("n"), (a["sx"] + q["x"]).alias("sx"), (a["sy"] + q["y"]).alias("sy"),
-            (a["sxy"] + q["x"] * q["y"]).alias("sxy"), (a["sxx"] + q["x"] * q["x"]).alias("sxx"),
-        )
-
-    def fit(a):
-        den = a["n"] * a["sxx"] - a["sx"] * a["sx"]
-        h = F.when(F.abs(den) > 1e-10, F.try_divide(a["n"] * a["sxy"] - a["sx"] * a["sy"], den))
-        return F.when((a["n"] >= 2) & h.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), h)))
-
-    return F.when(arr.isNotNull(), F.aggregate(pts, acc0, add, fit))
+        return F.aggregate(s["v"], start, step, done)
+
+    return F.transform(piece, one)[0]
+
+
+def hurst(df: DataFrame, x: str, out: str, n: int = 60, divisions=(2, 4, 8), **k) -> DataFrame:
+    """Rescaled-range exponent: slope of ln(R/S) on ln(length) over splits of the window, clipped to [0,1]."""
+    d = df.withColumn("__win", _window_list(x, n, **k))
+    lengths = [n // div for div in divisions if n // div >= 4]
+    d = d.withColumns(
+        {f"__rs{m}": F.filter(F.array(*[_rescaled_range(F.slice("__win", i * m + 1, m), m) for i in range(n // m)]), lambda v: v.isNotNull()) for m in lengths}
+    )
+    mean = lambda m: F.try_divide(F.aggregate(f"__rs{m}", F.lit(0.0), lambda a, v: a + v), F.size(f"__rs{m}").cast("double"))
+    d = d.withColumns({f"__y{m}": mean(m) for m in lengths})
+    ys = {m: F.when(F.col(f"__y{m}") > 0, F.log(f"__y{m}")) for m in lengths}
+
+    def total(f):
+        return sum((F.when(ys[m].isNotNull(), f(math.log(m), ys[m])).otherwise(F.lit(0.0)) for m in lengths), F.lit(0.0))
+
+    cnt, sx, sy = total(lambda a, y: F.lit(1.0)), total(lambda a, y: F.lit(a)), total(lambda a, y: y)
+    sxy, sxx = total(lambda a, y: y * a), total(lambda a, y: F.lit(a * a))
+    slope = F.try_divide(cnt * sxy - sx * sy, cnt * sxx - sx * sx)
+    d = d.withColumn(out, F.when((cnt >= 2) & F.col("__win").isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), slope))))
+    return d.drop("__win", *[f"__rs{m}" for m in lengths], *[f"__y{m}" for m in lengths])

@@ -222,7 +222,7 @@ register("ULCER_INDEX_20D", lambda: R.ulcer("close", 20), direction=LOW)
 register("DD_DURATION_60D", lambda: R.bars_since_higher("close", 60), bounded=True, direction=LOW)
 register("GK_VOL_RATIO_20D", _gk)
 register("PERM_ENTROPY_20D", entropy_from_codes, needs=("pattern",), bounded=True)
-register("HURST_60D", lambda: R.hurst("r", 60), bounded=True)
+register("HURST_60D", lambda: F.col("hurst"), needs=("hurst",), bounded=True)
 register("DOWNSIDE_DEV_20D", _downside, direction=LOW)
 
 BAR_FACTORS = tuple(CATALOG)
@@ -264,6 +264,8 @@ def factors_wide(panel: DataFrame, names: Iterable[str] = BAR_FACTORS, keep: Ite
         d = with_obv(d)
     if "pattern" in needs:
         d = d.withColumn("pattern", _pattern_entropy())
+    if "hurst" in needs:
+        d = R.hurst(d, "r", "hurst", 60)
     if "adx" in needs:
         d = with_adx(d)
     if "market" in needs:

@@ -123,3 +123,22 @@ DD_DURATION = f"""WITH {STAGED} SELECT symbol, dt, round(least(coalesce(bar - ma
   FROM s a JOIN (SELECT symbol, min(bar) AS fb FROM s WHERE close IS NOT NULL GROUP BY symbol) f ON a.symbol = f.symbol AND a.bar >= f.fb
   LEFT JOIN s b ON a.symbol = b.symbol AND b.bar < a.bar AND b.bar >= a.bar - 60 AND b.close >= a.close)
  GROUP BY symbol, dt, bar HAVING bar > 0"""
+
+
+_U = "OVER (PARTITION BY symbol ORDER BY dt ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+ADX = f"""WITH {STAGED}, a AS (SELECT symbol, dt, tr, list(pdm) {_U} AS lp, list(mdm) {_U} AS lm, list(tr) FILTER (WHERE tr IS NOT NULL) {_U} AS lt FROM s),
+ b AS (SELECT symbol, dt, list_reduce(lp, lambda p, x: p + (x - p) * 2 / 15.0) AS p, list_reduce(lm, lambda p, x: p + (x - p) * 2 / 15.0) AS m,
+   list_reduce(lt, lambda p, x: p + (x - p) * 2 / 15.0) AS t FROM a WHERE len(lt) >= 14 AND len(lp) >= 14),
+ c AS (SELECT symbol, dt, 100 * p / (t + 1e-10) AS pd, 100 * m / (t + 1e-10) AS md FROM b),
+ d AS (SELECT symbol, dt, list(100 * abs(pd - md) / (pd + md + 1e-10)) {_U} AS l FROM c)
+ SELECT symbol, dt, round(list_reduce(l, lambda p, x: p + (x - p) * 2 / 15.0), 6) AS value FROM d WHERE len(l) >= 14"""
+
+HURST = f"""WITH {STAGED}, wn AS (SELECT symbol, dt, list(r) OVER w60 AS a FROM s {WINDOWS} QUALIFY count(r) OVER w60 = 60),
+ sub AS (SELECT symbol, dt, n, k, list_slice(a, k * n + 1, (k + 1) * n) AS v FROM wn, (VALUES (30, 2), (15, 4), (7, 8)) q(n, c), range(8) g(k) WHERE k < c),
+ el AS (SELECT symbol, dt, n, k, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM sub),
+ cu AS (SELECT symbol, dt, n, k, x, sum(x - m) OVER (PARTITION BY symbol, dt, n, k ORDER BY i) AS c FROM (SELECT *, avg(x) OVER (PARTITION BY symbol, dt, n, k) AS m FROM el)),
+ rs AS (SELECT symbol, dt, n, k, CASE WHEN stddev_pop(x) > 1e-10 THEN (max(c) - min(c)) / stddev_pop(x) END AS q FROM cu GROUP BY ALL),
+ pt AS (SELECT symbol, dt, ln(n) AS lx, ln(avg(q)) AS ly FROM rs GROUP BY symbol, dt, n HAVING avg(q) > 0)
+ SELECT symbol, dt, round(greatest(0, least(1, regr_slope(ly, lx))), 6) AS value FROM pt GROUP BY symbol, dt HAVING count(*) >= 2"""
+
+STEPPED = {"DD_DURATION_60D": DD_DURATION, "ADX_14D": ADX, "HURST_60D": HURST}

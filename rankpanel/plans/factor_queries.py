@@ -11,7 +11,7 @@ from .registry import query, rounded
 
 
 def _add(i: int, name: str) -> None:
-    sql = O.one(name) if name in O.SQL else {"DD_DURATION_60D": O.DD_DURATION}.get(name)
+    sql = O.one(name) if name in O.SQL else O.STEPPED.get(name)
 
     @query(f"f_{i:02d}_{name.lower()}", sql)
     def run(spark, sf, name=name):
