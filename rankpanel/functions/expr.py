@@ -146,3 +146,22 @@ def compound(r) -> Column:
 def null_nan(x) -> Column:
     x = col(x)
     return F.when(~F.isnan(x), x)
+
+
+def corr(a, b) -> Column:
+    """Aggregate: correlation over rows where both are present, NULL when a side is flat.
+
+    The built-in `corr` divides by zero on a flat side, which is an error in ANSI mode.
+    """
+    a, b = col(a), col(b)
+    ok = a.isNotNull() & b.isNotNull()
+    x, y = F.when(ok, a), F.when(ok, b)
+    return F.try_divide(F.covar_pop(x, y), F.sqrt(F.var_pop(x) * F.var_pop(y)))
+
+
+def corr_over(a, b, w) -> Column:
+    """The same over a window."""
+    a, b = col(a), col(b)
+    ok = a.isNotNull() & b.isNotNull()
+    x, y = F.when(ok, a), F.when(ok, b)
+    return F.try_divide(F.covar_pop(x, y).over(w), F.sqrt(F.var_pop(x).over(w) * F.var_pop(y).over(w)))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .expr import col
+from .expr import col, corr_over
 
 SYMBOL, DATE = "symbol", "dt"
 
@@ -65,7 +65,7 @@ def r_corr(x, y, n, min_periods=None, **k) -> Column:
     w = frame(n, **k)
     need = n if min_periods is None else min_periods
     moving = (F.min(a).over(w) < F.max(a).over(w)) & (F.min(b).over(w) < F.max(b).over(w))
-    return F.when((F.count(a).over(w) >= need) & moving, F.corr(a, b).over(w))
+    return F.when((F.count(a).over(w) >= need) & moving, corr_over(a, b, w))
 
 
 def r_slope(x, n, pos="bar", **k) -> Column:

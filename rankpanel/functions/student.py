@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .expr import col
 
@@ -44,7 +45,7 @@ def betainc(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.where(flip, 1.0 - out, out)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _two_sided(t: pd.Series, df: pd.Series) -> pd.Series:
     tv, nu = t.to_numpy(dtype=float), df.to_numpy(dtype=float)
     ok = np.isfinite(tv) & np.isfinite(nu) & (nu > 0)

@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.expr import col
 from ..functions.ranking import ordinal_rank, pct_rank, rank01
@@ -87,7 +88,7 @@ def processing_report(df: DataFrame, names: Sequence[str], bounded: Iterable[str
 def solve_rows(k: int):
     """Vectorised solve of the normal equations of many dates at once."""
 
-    @F.pandas_udf("array<double>")
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def solve(xtx: pd.Series, xty: pd.Series) -> pd.Series:
         a = np.array(xtx.tolist(), dtype=float).reshape(-1, k, k)
         b = np.array(xty.tolist(), dtype=float).reshape(-1, k, 1)

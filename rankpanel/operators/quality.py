@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.expr import ratio
+from ..functions.expr import corr, ratio
 from ..functions.ranking import avg_rank, ordinal_rank, pct_rank
 from ..functions.student import t_two_sided
 
@@ -26,7 +29,7 @@ def rank_ic(long: DataFrame, ret: str, keys: Sequence[str] = ("factor", "dt"), m
     d = d.select(*keys, avg_rank(value, keys).alias("a"), avg_rank(ret, keys).alias("b"))
     g = d.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"),
-        F.corr("a", "b").alias("c"),
+        corr("a", "b").alias("c"),
         ((F.min("a") < F.max("a")) & (F.min("b") < F.max("b"))).alias("moves"),
     )
     return g.where((F.col("n") >= min_rows) & F.col("moves")).select(*keys, F.round("c", 12).alias("ic"), "n")
@@ -53,7 +56,7 @@ def ordinal_ic(long: DataFrame, ret: str, keys: Sequence[str] = ("factor", "dt")
     keys = list(keys)
     d = long.where(F.col(ret).isNotNull() & F.col(value).isNotNull())
     d = d.select(*keys, ordinal_rank(value, keys).alias("a"), ordinal_rank(ret, keys).alias("b"))
-    g = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.corr("a", "b").alias("c"))
+    g = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), corr("a", "b").alias("c"))
     return g.where(F.col("n") >= min_rows).select(*keys, F.round("c", 12).alias("ic"), "n")
 
 
@@ -153,7 +156,7 @@ def pooled_rank_corr(d: DataFrame, x: str, y: str, keys: Sequence[str], min_pair
         return n.select(*keys, c, (F.sum("__c").over(w) - (F.col("__c") - 1) / F.lit(2.0)).alias(out))
 
     r = d.join(rank_table(x, "__a"), [*keys, x]).join(rank_table(y, "__b"), [*keys, y])
-    g = r.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_pairs"), F.corr("__a", "__b").alias("corr"))
+    g = r.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_pairs"), corr("__a", "__b").alias("corr"))
     return g.where(F.col("n_pairs") >= min_pairs)
 
 
@@ -172,9 +175,173 @@ def factor_correlations(wide: DataFrame, names: Sequence[str], min_rows: int = M
     agg = []
     for a, b in pairs:
         ok = F.col(a).isNotNull() & F.col(b).isNotNull()
-        agg.append(F.when(F.count(F.when(ok, 1)) >= min_rows, F.corr(F.when(ok, F.col(a)), F.when(ok, F.col(b)))).alias(f"{a}|{b}"))
+        agg.append(F.when(F.count(F.when(ok, 1)) >= min_rows, corr(F.when(ok, F.col(a)), F.when(ok, F.col(b)))).alias(f"{a}|{b}"))
     daily = ranked.groupBy("dt").agg(*agg)
     cols = [f"{a}|{b}" for a, b in pairs]
     m = daily.agg(*[F.avg(F.col(f"`{c}`")).alias(c) for c in cols])
     long = m.unpivot([], [F.col(f"`{c}`") for c in cols], "pair", "corr")
     return long.select(F.split("pair", r"\|")[0].alias("a"), F.split("pair", r"\|")[1].alias("b"), "corr")
+
+
+def two_sided_trains(ic: DataFrame, split: Column) -> DataFrame:
+    """Train and holdout summary of a daily statistic in one pass."""
+    out = []
+    for name, cond in (("train", ~split), ("ho", split)):
+        v = F.when(cond, F.col("ic"))
+        out += [F.avg(v).alias(f"{name}_ic"), F.stddev_samp(v).alias(f"{name}_std"), F.count(v).alias(f"{name}_n"), F.avg((v > 0).cast("double")).alias(f"{name}_hit")]
+    g = ic.groupBy("factor").agg(*out)
+    for name in ("train", "ho"):
+        g = g.withColumn(f"{name}_icir", F.when(F.col(f"{name}_std") > 1e-10, F.col(f"{name}_ic") / F.col(f"{name}_std")))
+    return g
+
+
+MIN_IC, MIN_ICIR = 0.02, 0.1
+
+
+def directions(split: DataFrame) -> DataFrame:
+    """Direction, whether it holds out of sample, whether flipping the factor is advised, and the effect."""
+    tr, ho = F.col("train_ic"), F.col("ho_ic")
+    weak = (F.abs(tr) < MIN_IC) | (F.abs(ho) < MIN_IC)
+    direction = F.when(F.abs(tr) < MIN_IC, "neutral").when(tr > 0, "positive").otherwise("negative")
+    d = split.withColumn("direction", direction).withColumn("direction_stable", F.when(weak, True).otherwise(tr * ho > 0))
+    strong = (F.abs(tr) >= MIN_IC) & (F.abs(F.col("train_icir")) >= MIN_ICIR) & (F.abs(ho) >= MIN_IC)
+    d = d.withColumn("flip_recommended", strong & (F.col("direction") == "negative") & F.col("direction_stable"))
+    return d.withColumn("flipped_ho_ic", F.when(tr < 0, -ho).otherwise(ho))
+
+
+def coverage(wide: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Null rate and the least and mean number of values per date."""
+    daily = wide.groupBy("dt").agg(F.count(F.lit(1)).alias("__all"), *[F.count(n).alias(n) for n in names])
+    d = daily.unpivot(["__all"], list(names), "factor", "n")
+    return d.groupBy("factor").agg(
+        (1 - F.sum("n") / F.sum("__all")).alias("null_rate"), F.min("n").alias("min_valid"), F.avg("n").alias("mean_valid")
+    )
+
+
+def quality_score(d: DataFrame) -> DataFrame:
+    """Points for significance, monotonicity, stability, low turnover and direction; and the pass rule."""
+    pts = lambda cond, p: F.when(cond, F.lit(p)).otherwise(F.lit(0.0))
+    p = F.col("p_value")
+    good = F.when(F.col("direction") == "high_is_good", F.col("mean_ic") > 0).when(F.col("direction") == "low_is_good", F.col("mean_ic") < 0).otherwise(F.lit(True))
+    score = (
+        F.when(p < 0.01, 2.0).when(p < 0.05, 1.0).otherwise(0.0)
+        + pts(F.col("monotonicity") >= 0.8, 1.0)
+        + pts(F.coalesce(F.col("rolling_ic_positive_rate"), F.lit(0.0)) > 0.55, 1.0)
+        + pts(F.coalesce(F.col("rank_autocorr"), F.lit(0.0)) > 0.7, 0.5)
+        + pts(good, 1.0)
+        - pts(~F.col("production_ready"), 3.0)
+    )
+    d = d.withColumn("quality_score", score)
+    return d.withColumn("passed", (F.col("quality_score") >= 2.0) & (F.col("null_rate") <= 0.30))
+
+
+def topk_precision(long: DataFrame, ret: str, k: int = 2, hit: int = 5, boundary: int = 10, min_rows: int = 10) -> DataFrame:
+    """Overlap of the factor's best with the actual best, hit rate, and the rank correlation inside the factor's top."""
+    keys = ["factor", "dt"]
+    d = long.where(F.col(ret).isNotNull()).withColumn("n", F.count(F.lit(1)).over(W.partitionBy(*keys))).where(F.col("n") >= max(boundary, min_rows))
+    d = d.withColumn("pf", ordinal_rank("value", keys, descending=True)).withColumn("pr", ordinal_rank(ret, keys, descending=True))
+    one = lambda c: F.sum(F.when(c, 1).otherwise(0))
+    daily = d.groupBy(*keys).agg(
+        (one((F.col("pf") <= k) & (F.col("pr") <= k)) / k).alias("precision"),
+        (one((F.col("pf") <= k) & (F.col("pr") <= hit)) > 0).cast("double").alias("hit"),
+    )
+    inside = rank_ic(d.where(F.col("pf") <= boundary), ret, keys).groupBy("factor").agg(F.avg("ic").alias("boundary_ic"))
+    g = daily.groupBy("factor").agg(F.avg("precision").alias("top_precision"), F.avg("hit").alias("top_hit_rate"), F.count(F.lit(1)).alias("n_dates"))
+    return g.join(inside, "factor", "left")
+
+
+def rank_stability(long: DataFrame, freq: int, k: int = 2) -> DataFrame:
+    """On rebalance bars: rank autocorrelation, share of the top that stays, volatility of the relative rank."""
+    keys = ["factor", "bar"]
+    d = long.where(F.col("bar") % freq == 0).select("factor", "symbol", "bar", "value")
+    n = F.count(F.lit(1)).over(W.partitionBy(*keys))
+    d = d.select("factor", "symbol", "bar", avg_rank("value", keys).alias("rk"), ordinal_rank("value", keys, descending=True).alias("pos"), n.alias("n"))
+    d = d.withColumn("r01", F.when(F.col("n") > 1, (F.col("rk") - 1) / (F.col("n") - 1)))
+    nxt = d.select("factor", "symbol", (F.col("bar") - freq).alias("bar"), F.col("rk").alias("rk2"), F.col("pos").alias("pos2"))
+    pairs = d.join(nxt, ["factor", "symbol", "bar"]).select("factor", "bar", "rk", "rk2", "pos", "pos2")
+    corr = rank_ic(pairs, "rk2", keys, 4, "rk").groupBy("factor").agg(F.avg("ic").alias("rank_autocorr"))
+    stay = pairs.groupBy(*keys).agg((F.sum(F.when((F.col("pos") <= k) & (F.col("pos2") <= k), 1).otherwise(0)) / k).alias("s"))
+    stay = stay.groupBy("factor").agg(F.avg("s").alias("top_persistence"))
+    vol = d.groupBy("factor", "symbol").agg(F.stddev_pop("r01").alias("v")).groupBy("factor").agg(F.avg("v").alias("rank_volatility"))
+    return corr.join(stay, "factor").join(vol, "factor")
+
+
+def window_stability(ic: DataFrame, bars: DataFrame, window: int = 180, step: int = 60, limits=(0.0, 0.2, 0.5)) -> DataFrame:
+    """Mean statistic per sliding window of bars, then its moments across windows and the stability verdict."""
+    total = bars.agg((F.max("bar") + 1).alias("__t"))
+    d = ic.join(bars, "dt").crossJoin(F.broadcast(total))  # one row
+    first = F.greatest(F.lit(0), F.ceil((F.col("bar") - window + 1) / F.lit(step)).cast("int"))
+    last = F.least(F.floor(F.col("bar") / F.lit(step)), F.floor((F.col("__t") - window - 1) / F.lit(step))).cast("int")
+    d = d.where(first <= last).select("factor", "ic", F.explode(F.sequence(first, last)).alias("win"))
+    w = d.groupBy("factor", "win").agg(F.avg("ic").alias("m"))
+    g = w.groupBy("factor").agg(
+        F.count(F.lit(1)).alias("windows"), F.avg("m").alias("ic_mean"), F.stddev_pop("m").alias("ic_std"), F.skewness("m").alias("ic_skew"),
+        F.avg((F.col("m") > 0).cast("double")).alias("positive_rate"),
+    ).where("windows >= 3")
+    g = g.withColumn("stability_score", 0.4 * F.col("ic_mean") + 0.3 * F.col("positive_rate") - 0.3 * F.col("ic_std"))
+    return g.withColumn("is_stable", (F.col("ic_mean") >= limits[0]) & (F.col("ic_std") <= limits[1]) & (F.col("positive_rate") >= limits[2]))
+
+
+def time_folds(ic: DataFrame, bars: DataFrame, folds: int = 3, floor: float = 0.02) -> DataFrame:
+    """Each fold is the test set once; all train and test means must agree in sign beyond the floor."""
+    total = bars.agg((F.max("bar") + 1).alias("__t"))
+    size = F.floor(F.col("__t") / folds)
+    d = ic.join(bars, "dt").crossJoin(F.broadcast(total)).withColumn("fold", F.least(F.floor(F.col("bar") / size), F.lit(folds - 1)).cast("int"))
+    cols = []
+    for k in range(folds):
+        cols += [F.avg(F.when(F.col("fold") != k, F.col("ic"))).alias(f"train_{k}"), F.avg(F.when(F.col("fold") == k, F.col("ic"))).alias(f"test_{k}")]
+    g = d.groupBy("factor").agg(*cols)
+    every = [F.col(f"{s}_{k}") for s in ("train", "test") for k in range(folds)]
+    up = down = F.lit(True)
+    for c in every:
+        up, down = up & F.coalesce(c > floor, F.lit(True)), down & F.coalesce(c < -floor, F.lit(True))
+    return g.withColumn("cv_passed", up | down)
+
+
+def max_correlation(wide: DataFrame, candidates: Sequence[str], active: Sequence[str]) -> DataFrame:
+    """Largest absolute mean daily rank correlation with the active set, itself excluded; missing takes the middle rank."""
+    names = sorted(set(candidates) | set(active))
+    n = F.count(F.lit(1)).over(W.partitionBy("dt"))
+    r = wide.select("dt", *[F.coalesce(avg_rank(c, "dt"), (n + 1) / F.lit(2.0)).alias(c) for c in names])
+    flat = lambda c: F.min(c) == F.max(c)
+    pairs = [(c, a) for c in names for a in active if c != a]
+    daily = r.groupBy("dt").agg(*[F.when(flat(c) | flat(a), F.lit(0.0)).otherwise(corr(c, a)).alias(f"{c}|{a}") for c, a in pairs])
+    m = daily.agg(*[F.abs(F.avg(F.col(f"`{c}|{a}`"))).alias(f"{c}|{a}") for c, a in pairs])
+    best = [F.greatest(*[F.col(f"`{c}|{a}`") for a in active if a != c], F.lit(0.0)).alias(c) for c in names]
+    return m.select(*best).unpivot([], names, "factor", "max_abs_corr")
+
+
+def eigen_shares(k: int):
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def shares(windows: pd.Series) -> pd.Series:
+        out = []
+        centre = np.eye(k) - 1.0 / k
+        for rows in windows:
+            g = np.zeros((k, k))
+            for i, r in enumerate(rows):
+                for lag in range(i + 1):
+                    g[i, i - lag] = g[i - lag, i] = r[lag]
+            ev = np.sort(np.linalg.eigvalsh(centre @ g @ centre))[::-1]
+            tot = ev[ev > 0].sum()
+            out.append([float(ev[0] / tot), float(ev[1] / tot)] if tot > 1e-18 else None)
+        return pd.Series(out)
+
+    return shares
+
+
+def principal_shares(returns: DataFrame, window: int = 60) -> DataFrame:
+    """Share of return variance on the first two principal components, rolling.
+
+    The covariance over symbols has the same non-zero eigenvalues as the window x window matrix of
+    products between dates. Those products are sums over symbols, aggregated per date with map-side
+    combining; only `window` numbers per date reach the eigenvalue step, however many symbols exist.
+    """
+    base = returns.select("symbol", "dt", F.coalesce("r", F.lit(0.0)).alias("r"))
+    w = W.partitionBy("symbol").orderBy("dt")
+    d = base.select("dt", *[(F.col("r") * F.coalesce(F.lag("r", k).over(w), F.lit(0.0))).alias(f"p{k}") for k in range(window)])
+    g = d.groupBy("dt").agg(*[F.sum(f"p{k}").alias(f"p{k}") for k in range(window)])
+    g = g.select("dt", F.array(*[F.col(f"p{k}") for k in range(window)]).alias("g"), F.lit("m").alias("series"))
+    fr = W.partitionBy("series").orderBy("dt").rowsBetween(-(window - 1), 0)
+    g = g.select("dt", F.count(F.lit(1)).over(fr).alias("n"), F.collect_list("g").over(fr).alias("rows")).where(F.col("n") == window)
+    s = g.select("dt", eigen_shares(window)("rows").alias("s")).where("s is not null")
+    return s.select("dt", F.col("s")[0].alias("pc1"), F.col("s")[1].alias("pc2"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import rolling as R
-from ..functions.expr import ratio
+from ..functions.expr import corr, ratio
 from ..functions.ranking import avg_rank, ordinal_rank, pct_rank, rank01, ranked
 from ..operators import cross_section as X
 from ..operators.factors import to_long, with_stage_columns
@@ -206,7 +206,7 @@ def x21(spark, sf):
     d = with_stage_columns(panel(spark, sf)).select("dt", "r", *[(ratio("close", R.lag("close", n)) - 1).alias(f"r{n}") for n in (5, 20)])
     g = d.groupBy("dt").agg(F.stddev_samp("r5").alias("d5"), F.stddev_samp("r20").alias("d20"), F.avg("r").alias("mkt")).withColumn("series", F.lit("m"))
     g = g.withColumn("vol", R.r_std("mkt", 20, by="series")).where("d20 is not null and vol is not null")
-    cut = g.agg(*[F.percentile("d20", p).alias(f"c{i}") for i, p in enumerate((0.25, 0.5, 0.75))], F.corr("d20", "vol").alias("dispersion_vol_corr"))
+    cut = g.agg(*[F.percentile("d20", p).alias(f"c{i}") for i, p in enumerate((0.25, 0.5, 0.75))], corr("d20", "vol").alias("dispersion_vol_corr"))
     d20 = F.col("d20")
     q = F.when(d20 <= F.col("c0"), 1).when(d20 <= F.col("c1"), 2).when(d20 <= F.col("c2"), 3).otherwise(4)
     g = g.join(F.broadcast(cut))  # one row of cut points

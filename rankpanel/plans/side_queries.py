@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import rolling as R
-from ..functions.expr import ratio
+from ..functions.expr import corr, ratio
 from ..functions.ranking import avg_rank
 from ..operators import side_factors as S
 from ..operators.factors import factors_wide, with_market, with_stage_columns
-from ..oracle.base import PANEL, WINDOWS, corr, full, mean, slope, std, total
+from ..oracle.base import PANEL, WINDOWS, corr as sql_corr, full, mean, slope, std, total
 from ..oracle.factors import SQL, STAGED, _chg
 from ..sources.panel import panel
 from ..sources.side_tables import load_fx
@@ -138,7 +138,7 @@ def f48(spark, sf):
 
 
 @query("f_49_cross_source", sql({
-    "share_price_div": corr("chg5", "ret5", 20, 10),
+    "share_price_div": sql_corr("chg5", "ret5", 20, 10),
     "flow_quality": f"({_chg('fd_share', 10)}) / (volume / (({mean('volume', 20, need=10)}) + 1e-10) + 1e-10)",
     "leverage_flow": f"({_chg('rzye', 10)}) - ({_chg('fd_share', 10)})"}))
 def f49(spark, sf):
@@ -198,7 +198,7 @@ BOND_SQL = {
 COMMODITY_SQL = {
     "usd_inverse_mom_20d": "-(rate / lag(rate, 20) OVER w - 1) * 100",
     "commodity_trend_20d": f"{_M(20)} * (0.5 + (close - ({full('min(close)', 'close', 20)})) / (({full('max(close)', 'close', 20)}) - ({full('min(close)', 'close', 20)}) + 1e-10))",
-    "gold_safe_haven_score": f"CASE WHEN ({corr('r', 'mkt', 20)}) IS NOT NULL THEN greatest(0, least(1, (1 - ({corr('r', 'mkt', 20)})) / 2)) END",
+    "gold_safe_haven_score": f"CASE WHEN ({sql_corr('r', 'mkt', 20)}) IS NOT NULL THEN greatest(0, least(1, (1 - ({sql_corr('r', 'mkt', 20)})) / 2)) END",
     "commodity_vol_adj_mom": f"({total('r', 20)}) * 100 / (({std('r', 20)}) * sqrt(252) * 100 + 1e-10)",
 }
 CROSS_SQL = {
@@ -310,7 +310,7 @@ def w04(spark, sf):
     x = d.groupBy("dt").agg(
         F.avg("close").alias("p"),
         F.stddev_samp("r5").alias("dispersion_5d"),
-        F.when(F.sum(both.cast("int")) > 5, F.corr(F.when(both, F.col("rk")), F.when(both, F.col("pk")))).alias("rank_persistence"),
+        F.when(F.sum(both.cast("int")) > 5, corr(F.when(both, F.col("rk")), F.when(both, F.col("pk")))).alias("rank_persistence"),
     ).withColumn("series", F.lit("market"))
     k = dict(by="series", order="dt")
     x = x.withColumn("dp", F.abs(F.col("p") - R.lag("p", 1, **k)))
