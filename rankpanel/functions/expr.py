@@ -96,18 +96,18 @@ def ladder(x, steps: Sequence[tuple[float, float]], base: float = 1.0) -> Column
     return F.lit(base) if out is None else out.otherwise(F.lit(base))
 
 
-def position_count(exposure, zones: Sequence[tuple[float, int]], lowest: int, cap: int) -> Column:
-    """Exposure to number of positions: first zone whose floor is reached, clamped to [1, cap]."""
+def position_count(exposure, zones: Sequence[tuple[float, int]], lowest: int = 1, cap: int = 4) -> Column:
+    """Exposure to number of positions: the first zone whose ceiling holds it (else the last), clamped."""
     e = col(exposure)
     out = None
-    for floor, size in sorted(zones, reverse=True):
-        out = F.when(e >= floor, F.lit(size)) if out is None else out.when(e >= floor, F.lit(size))
-    return F.least(F.greatest(out.otherwise(F.lit(lowest)), F.lit(1)), F.lit(cap))
+    for ceiling, size in sorted(zones):
+        out = F.when(e <= ceiling, F.lit(size)) if out is None else out.when(e <= ceiling, F.lit(size))
+    return F.least(F.greatest(out.otherwise(F.lit(sorted(zones)[-1][1])), F.lit(lowest)), F.lit(cap))
 
 
 def names_of(combo) -> Column:
     """'A + B + C' to ['A','B','C']."""
-    return F.transform(F.split(col(combo), r"\+"), F.trim)
+    return F.transform(F.split(col(combo), r"\+"), lambda n: F.trim(n))
 
 
 def combo_of(names) -> Column:

@@ -102,21 +102,22 @@ def gate_stats(gate: DataFrame) -> DataFrame:
     )
 
 
-def light_timing(index: DataFrame, gold: DataFrame, threshold: float = 0.4, reduced: float = 0.3) -> DataFrame:
-    """0.4 x index above its long average + 0.4 x positive momentum + 0.2 x haven below its average."""
-    d = index.join(gold.select("dt", F.col("px").alias("gold")), "dt", "left")
+def light_timing(index: DataFrame, haven: DataFrame, threshold: float = -0.4, reduced: float = 0.3) -> DataFrame:
+    """0.4 x index against its long average + 0.4 x momentum sign + 0.2 x haven against its long average."""
+    d = index.join(haven.select("dt", F.col("px").alias("haven")), "dt", "left")
     w = R.frame(200, **K)
-    up = (F.col("px") > F.avg("px").over(w)).cast("double")
-    mom = F.coalesce(F.col("px") > R.lag("px", 20, **K), F.lit(False)).cast("double")
-    haven = F.coalesce(F.col("gold") < F.avg("gold").over(w), F.lit(False)).cast("double")
-    d = d.withColumn("score", 0.4 * up + 0.4 * mom + 0.2 * haven)
-    return d.select(SERIES, "dt", "score", F.when(F.col("score") >= threshold, F.lit(1.0)).otherwise(F.lit(reduced)).alias("exposure"))
+    sign = lambda cond: F.when(cond, F.lit(1.0)).otherwise(F.lit(-1.0))
+    past = R.lag("px", 20, **K)
+    mom = F.when(past.isNull(), F.lit(1.0)).otherwise(sign(F.col("px") > past))
+    d = d.withColumn("score", 0.4 * sign(F.col("px") > F.avg("px").over(w)) + 0.4 * mom + 0.2 * sign(F.col("haven") > F.avg("haven").over(w)))
+    # scores are sums of +-0.4, +-0.4, +-0.2; the comparison is done on one decimal
+    return d.select(SERIES, "dt", F.round("score", 6).alias("score"), F.when(F.round("score", 6) < threshold, F.lit(reduced)).otherwise(F.lit(1.0)).alias("exposure"))
 
 
 def dual_timing(panel: DataFrame, index: DataFrame, bear: float = 0.1) -> DataFrame:
     """Index against its long average sets the position; each symbol against its short average sets a trend flag."""
     i = index.select("dt", F.when(F.col("px") > F.avg("px").over(R.frame(200, **K)), F.lit(1.0)).otherwise(F.lit(bear)).alias("position"))
-    own = F.col("close") > F.avg("close").over(R.frame(20))
+    own = F.col("close") >= F.avg("close").over(R.frame(20))
     return panel.where("close is not null").select("symbol", "dt", own.alias("trend")).join(i, "dt").select("symbol", "dt", "trend", "position")
 
 
