@@ -279,7 +279,7 @@ def m10(spark, sf):
 
 @query("m_11_long_short_portfolio", f"""WITH {LONG}, c AS (SELECT factor, bar // {RF} AS p, symbol, row_number() OVER (PARTITION BY factor, bar ORDER BY round(value, 10) DESC, symbol) AS hi, row_number() OVER (PARTITION BY factor, bar ORDER BY round(value, 10), symbol) AS lo, count(*) OVER (PARTITION BY factor, bar) AS n FROM zl WHERE bar % {RF} = 0),
  dr AS (SELECT symbol, bar, (bar - 1) // {RF} AS p, r FROM s WHERE bar >= 1), x AS (SELECT factor, dr.bar, (avg(r) FILTER (hi <= 2) - avg(r) FILTER (lo <= 2)) / 2 AS ls, avg(r) FILTER (hi <= 2) AS top FROM c JOIN dr ON c.symbol = dr.symbol AND c.p = dr.p WHERE n >= 4 GROUP BY ALL)
- SELECT factor, count(*) AS bars, round(sum(ln(1 + ls)), 6) AS ls_log_growth, round(avg(ls) / stddev_samp(ls) * sqrt(252), 6) AS ls_sharpe, round(avg(CAST(ls > 0 AS INT)), 6) AS ls_win_rate, round(sum(ln(1 + top)), 6) AS top_log_growth FROM x WHERE ls IS NOT NULL GROUP BY factor""")
+ SELECT factor, count(*) AS bars, round(sum(ls), 6) AS ls_total, round(avg(ls) / stddev_samp(ls) * sqrt(252), 6) AS ls_sharpe, round(avg(CAST(ls > 0 AS INT)), 6) AS ls_win_rate, round(sum(ln(1 + top)), 6) AS top_log_growth FROM x WHERE ls IS NOT NULL GROUP BY factor""")
 def m11(spark, sf):
     from pyspark.sql import Window as W
 
@@ -293,7 +293,7 @@ def m11(spark, sf):
     top, bot = F.avg(F.when(F.col("hi") <= 2, F.col("r"))), F.avg(F.when(F.col("lo") <= 2, F.col("r")))
     x = z.join(r, ["symbol", "p"]).groupBy("factor", "bar").agg(((top - bot) / 2).alias("ls"), top.alias("top")).where("ls is not null")
     return rounded(x.groupBy("factor").agg(
-        F.count(F.lit(1)).alias("bars"), F.sum(F.log1p("ls")).alias("ls_log_growth"), (F.avg("ls") / F.stddev_samp("ls") * F.sqrt(F.lit(252.0))).alias("ls_sharpe"),
+        F.count(F.lit(1)).alias("bars"), F.sum("ls").alias("ls_total"), (F.avg("ls") / F.stddev_samp("ls") * F.sqrt(F.lit(252.0))).alias("ls_sharpe"),
         F.avg((F.col("ls") > 0).cast("double")).alias("ls_win_rate"), F.sum(F.log1p("top")).alias("top_log_growth")))
 
 
