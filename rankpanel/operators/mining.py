@@ -85,7 +85,7 @@ def algebra_ic_blocks(wide: DataFrame, cands: Sequence[tuple[str, str, str, str]
             aa, bb = (a * a).sum(axis=0), (b * b).sum(axis=0)
             ic = (a * b).sum(axis=0) / np.sqrt(aa * bb)
         good = (n >= min_rows) & (aa > 0) & (bb > 0)
-        return pd.DataFrame({"factor": names[good], "dt": [key[0]] * int(good.sum()), "ic": np.round(ic[good], 12), "n": n[good]})
+        return pd.DataFrame({"factor": names[good], "dt": pd.Series([key[0]] * int(good.sum()), dtype=object), "ic": np.round(ic[good], 12), "n": n[good]})
 
     return wide.select("dt", ret, *bases).groupBy("dt").applyInPandas(block, "factor string, dt date, ic double, n bigint")
 

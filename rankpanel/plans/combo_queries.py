@@ -44,12 +44,11 @@ def c01(spark, sf):
 
 
 def traded_buckets(spark, sf):
-    """The bucket table, restricted to factors the panel can compute: names come from the data's factor table."""
-    from ..operators.factors import factors_wide, to_long
-
-    names = [f for fs in BUCKETS.values() for f in fs][:18]
-    have = stage(spark, sf, "bucket_names", lambda: to_long(factors_wide(panel(spark, sf), names), names).groupBy("factor").count())
-    return bucket_table(spark).join(have.select("factor"), "factor", "left_semi")
+    """Factors of the five bar buckets whose lookback fits into the panel's history."""
+    bars = panel(spark, sf).agg((F.max("bar") + 1).alias("bars"))
+    look = F.coalesce(F.try_element_at(F.regexp_extract_all("factor", F.lit(r"(\d+)")), F.lit(1)).cast("int"), F.lit(1))
+    b = bucket_table(spark).where(~F.col("bucket").isin("FUND_FLOW", "LEVERAGE")).crossJoin(F.broadcast(bars))  # one row
+    return stage(spark, sf, "buckets", lambda: b.where(F.col("bars") > look).select("factor", "bucket"))
 
 
 _BSQL = f"""{BK_SQL}, b5 AS (SELECT * FROM bk WHERE bucket NOT IN ('FUND_FLOW', 'LEVERAGE')),
@@ -182,7 +181,7 @@ def oos_periods(spark, sf, delta=DELTA, min_days=MIN_DAYS):
 
 
 def oos_perf(spark, sf):
-    return stage(spark, sf, "oos_perf", lambda: PF.equity_stats(oos_periods(spark, sf), ["combo", "win", "freq"], 252.0 / F.first("freq")))
+    return stage(spark, sf, "oos_perf", lambda: PF.equity_stats(oos_periods(spark, sf), ["combo", "win", "freq"], 252.0 / F.col("freq")))
 
 
 @query("c_08_out_of_sample_returns")
@@ -202,7 +201,7 @@ _PLAIN = f"""{_DEC2}, q2 AS (SELECT wt.combo, wt.win, d2.freq, d2.period, d2.sta
 @query("c_08_out_of_sample_returns_plain", f"WITH {WFO}, {_PLAIN} SELECT combo, win, freq, count(*) AS periods, round(sum(ln(1 + net)), 6) AS log_growth, round(CASE WHEN count(*) >= 2 AND stddev_pop(net) > 1e-12 THEN avg(net) / stddev_pop(net) * sqrt(252.0 / freq) ELSE 0 END, 6) AS sharpe FROM n2 GROUP BY combo, win, freq")
 def c08p(spark, sf):
     p = oos_periods(spark, sf, 0.0, 0)
-    st = PF.equity_stats(p, ["combo", "win", "freq"], 252.0 / F.first("freq")).select("combo", "win", "freq", "periods", "sharpe")
+    st = PF.equity_stats(p, ["combo", "win", "freq"], 252.0 / F.col("freq")).select("combo", "win", "freq", "periods", "sharpe")
     g = p.groupBy("combo", "win", "freq").agg(F.sum(F.log1p("net")).alias("log_growth"))
     return rounded(st.join(g, ["combo", "win", "freq"]))
 
@@ -389,5 +388,5 @@ def c22(spark, sf):
         hold = h if hold is None else hold.unionByName(h)
     keys = ["combo", "win", "freq", "delta_rank", "min_days"]
     p = PF.period_returns(hold, r, costs(spark, sf), keys, TOP, ["win", "freq"]).join(dec.where("oos").select("win", "freq", "period"), ["win", "freq", "period"], "left_semi")
-    st = PF.equity_stats(p, keys, 252.0 / F.first("freq"))
+    st = PF.equity_stats(p, keys, 252.0 / F.col("freq"))
     return rounded(st.groupBy("delta_rank", "min_days").agg(F.count(F.lit(1)).alias("n"), F.median("total_return").alias("median_return"), F.median("sharpe").alias("median_sharpe"), F.median("max_drawdown").alias("median_drawdown")))

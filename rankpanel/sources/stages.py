@@ -1,37 +1,28 @@
 """Stage tables shared by many queries of one session.
 
-A stage is computed once and kept with `persist()` (memory, then disk), laid out by symbol and sorted
-by date, so that every per-symbol window downstream runs without another exchange or sort. Lost
-executors only cost the recomputation of their partitions. `write_stage` puts a stage into a shared
-folder for jobs that run as separate applications.
+A stage is written once, as parquet, into the shared checkpoint folder the cluster names, and read
+back with its schema. The plans built on top start from a file scan: they stay short, prune columns,
+know their sizes (so small stages are broadcast by the optimizer's own size check), and a lost
+executor costs nothing but its running tasks.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
-_STAGES: dict[tuple, DataFrame] = {}
+from .io import scratch_path
+
+_STAGES: dict[tuple, tuple[str, object]] = {}
 
 
 def stage(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
     key = (spark.sparkContext.applicationId, sf_dir, name)
-    df = _STAGES.get(key)
-    if df is None:
-        df = build().persist(StorageLevel.MEMORY_AND_DISK)
-        _STAGES[key] = df
-    return df
-
-
-def drop_stages(spark: SparkSession) -> None:
-    app = spark.sparkContext.applicationId
-    for key in [k for k in _STAGES if k[0] == app]:
-        _STAGES.pop(key).unpersist()
-
-
-def write_stage(df: DataFrame, path: str, partition_by: str | None = None) -> DataFrame:
-    w = df.write.mode("overwrite")
-    (w.partitionBy(partition_by) if partition_by else w).parquet(path)
-    return df.sparkSession.read.parquet(path)
+    if key not in _STAGES:
+        df = build()
+        path = scratch_path(spark, "stage-" + "".join(c if c.isalnum() else "_" for c in name))
+        df.write.parquet(path)
+        _STAGES[key] = (path, df.schema)
+    path, schema = _STAGES[key]
+    return spark.read.schema(schema).parquet(path)
