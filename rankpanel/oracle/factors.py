@@ -119,10 +119,10 @@ def wide(names, src: str = "s", extra: str = "") -> str:
 
 # factors stated in several steps
 DD_DURATION = f"""WITH {STAGED} SELECT symbol, dt, round(least(coalesce(bar - max(hb), least(bar, 60)), 60) / 60.0, 6) AS value FROM (
-  SELECT a.symbol, a.dt, a.bar - f.fb AS bar, b.bar + 1 - f.fb AS hb
+  SELECT a.symbol, a.dt, a.bar AS ob, a.bar - f.fb AS bar, b.bar + 1 - f.fb AS hb
   FROM s a JOIN (SELECT symbol, min(bar) AS fb FROM s WHERE close IS NOT NULL GROUP BY symbol) f ON a.symbol = f.symbol AND a.bar >= f.fb
   LEFT JOIN s b ON a.symbol = b.symbol AND b.bar < a.bar AND b.bar >= a.bar - 60 AND b.close >= a.close)
- GROUP BY symbol, dt, bar HAVING bar > 0"""
+ GROUP BY symbol, dt, ob, bar HAVING ob > 0"""
 
 
 _U = "OVER (PARTITION BY symbol ORDER BY dt ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
