@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .expr import col, corr_over
 
@@ -17,6 +20,15 @@ def ts(by=SYMBOL, order=DATE) -> WindowSpec:
     return W.partitionBy(*([by] if isinstance(by, str) else by)).orderBy(order)
 
 
+def spread(d: DataFrame, *keys: str) -> DataFrame:
+    """Hash-partition on the keys into the configured number of partitions, for work that is heavy per row.
+
+    Adaptive coalescing goes by bytes and would put small but expensive groups into one task. Windows
+    and grouped maps on the same keys reuse this exchange.
+    """
+    return d.repartition(int(d.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def frame(n: int, shift: int = 0, by=SYMBOL, order=DATE) -> WindowSpec:
     """The last n rows, ending `shift` rows before the current one."""
     return ts(by, order).rowsBetween(-(n - 1) - shift, -shift)
@@ -235,45 +247,44 @@ def bars_since_higher(x, n: int, **k) -> Column:
     return F.when(cur.isNotNull() & (F.size(past) > 0), (F.size(past) - F.coalesce(hit, F.lit(0))) / F.lit(float(n)))
 
 
-def _rescaled_range(sub: Column, length: int) -> Column:
-    """Range of the cumulated deviations over the population deviation; NULL for a flat piece."""
-    mean = F.aggregate(sub, F.lit(0.0), lambda a, v: a + v) / F.lit(float(length))
-    piece = F.array(F.struct(sub.alias("v"), mean.alias("m")))
-
-    def one(s):
-        start = F.struct(F.lit(0.0).alias("c"), F.lit(-1e30).alias("hi"), F.lit(1e30).alias("lo"), F.lit(0.0).alias("q"))
-
-        def step(a, v):
-            dev = v - s["m"]
-            c = a["c"] + dev
-            return F.struct(
-                c.alias("c"), F.greatest(a["hi"], c).alias("hi"), F.least(a["lo"], c).alias("lo"), (a["q"] + dev * dev).alias("q")
-            )
-
-        def done(a):
-            return F.try_divide(a["hi"] - a["lo"], F.nullif(F.sqrt(a["q"] / F.lit(float(length))), F.lit(0.0)))
-
-        return F.aggregate(s["v"], start, step, done)
-
-    return F.transform(piece, one)[0]
+def _hurst_udf(n: int, divisions: tuple[int, ...]):
+    """Arrow batches of window arrays to exponents; every step is a whole-batch NumPy operation."""
+
+    @F.pandas_udf(T.DoubleType())
+    def run(windows: pd.Series) -> pd.Series:
+        out = np.full(len(windows), np.nan)
+        have = windows.notna().to_numpy()
+        if have.any():
+            x = np.stack(windows[have].to_numpy()).astype(float)
+            pts = []
+            for div in divisions:
+                m = n // div
+                if m < 4:
+                    continue
+                sub = x[:, : div * m].reshape(len(x), div, m)
+                dev = sub - sub.mean(axis=2, keepdims=True)
+                cum = dev.cumsum(axis=2)
+                sd = np.sqrt((dev**2).mean(axis=2))
+                ok = sd > 1e-10
+                rs = np.where(ok, (cum.max(axis=2) - cum.min(axis=2)) / np.where(ok, sd, 1.0), 0.0)
+                k = ok.sum(axis=1)
+                mean = np.where(k > 0, rs.sum(axis=1) / np.maximum(k, 1), 0.0)
+                pts.append((np.log(m), np.where(mean > 0, np.log(np.where(mean > 0, mean, 1.0)), np.nan)))
+            lx = np.array([a for a, _ in pts])[None, :]
+            ly = np.column_stack([b for _, b in pts])
+            seen = np.isfinite(ly)
+            c = seen.sum(axis=1)
+            y, xx = np.where(seen, ly, 0.0), np.where(seen, lx, 0.0)
+            den = c * (xx**2).sum(axis=1) - xx.sum(axis=1) ** 2
+            good = (c >= 2) & (np.abs(den) > 1e-10)
+            h = (c * (xx * y).sum(axis=1) - xx.sum(axis=1) * y.sum(axis=1)) / np.where(good, den, 1.0)
+            out[have] = np.where(good, np.clip(h, 0.0, 1.0), np.nan)
+        return pd.Series(out)
+
+    return run
 
 
 def hurst(df: DataFrame, x: str, out: str, n: int = 60, divisions=(2, 4, 8), **k) -> DataFrame:
     """Rescaled-range exponent: slope of ln(R/S) on ln(length) over splits of the window, clipped to [0,1]."""
-    d = df.withColumn("__win", _window_list(x, n, **k))
-    lengths = [n // div for div in divisions if n // div >= 4]
-    d = d.withColumns(
-        {f"__rs{m}": F.filter(F.array(*[_rescaled_range(F.slice("__win", i * m + 1, m), m) for i in range(n // m)]), lambda v: v.isNotNull()) for m in lengths}
-    )
-    mean = lambda m: F.try_divide(F.aggregate(f"__rs{m}", F.lit(0.0), lambda a, v: a + v), F.size(f"__rs{m}").cast("double"))
-    d = d.withColumns({f"__y{m}": mean(m) for m in lengths})
-    ys = {m: F.when(F.col(f"__y{m}") > 0, F.log(f"__y{m}")) for m in lengths}
-
-    def total(f):
-        return sum((F.when(ys[m].isNotNull(), f(math.log(m), ys[m])).otherwise(F.lit(0.0)) for m in lengths), F.lit(0.0))
-
-    cnt, sx, sy = total(lambda a, y: F.lit(1.0)), total(lambda a, y: F.lit(a)), total(lambda a, y: y)
-    sxy, sxx = total(lambda a, y: y * a), total(lambda a, y: F.lit(a * a))
-    slope = F.try_divide(cnt * sxy - sx * sy, cnt * sxx - sx * sx)
-    d = d.withColumn(out, F.when((cnt >= 2) & F.col("__win").isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), slope))))
-    return d.drop("__win", *[f"__rs{m}" for m in lengths], *[f"__y{m}" for m in lengths])
+    d = df.withColumn("__win", _window_list(x, n, **k)).withColumn("__h", _hurst_udf(n, tuple(divisions))("__win"))
+    return d.withColumn(out, F.when(~F.isnan("__h"), F.col("__h"))).drop("__win", "__h")

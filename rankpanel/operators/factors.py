@@ -245,6 +245,9 @@ register("MARGIN_BUY_RATIO", lambda: safe_div_signed("rzmre", F.col("close") * F
 
 SIDE_FACTORS = tuple(n for n in CATALOG if n not in BAR_FACTORS)
 
+# factors that fold over a window array row by row
+HEAVY = {"MAX_DD_60D", "CALMAR_RATIO_60D", "ULCER_INDEX_20D", "DD_DURATION_60D", "HURST_60D", "PERM_ENTROPY_20D"}
+
 SIDE_FIELDS = ("rzye", "rzmre", "rzche", "rqye", "rqyl", "rqchl", "rqmcl", "unit_nav")
 
 
@@ -258,6 +261,8 @@ def factors_wide(panel: DataFrame, names: Iterable[str] = BAR_FACTORS, keep: Ite
     """(symbol, dt, bar, pool, *keep, one column per factor)."""
     names = list(names)
     needs = set().union(*[CATALOG[n].needs for n in names]) if names else set()
+    if HEAVY & set(names):
+        panel = R.spread(panel, "symbol")
     d = carry_side_fields(panel) if "side" in needs else panel
     d = with_stage_columns(d)
     if "obv" in needs:

@@ -87,7 +87,7 @@ def algebra_ic_blocks(wide: DataFrame, cands: Sequence[tuple[str, str, str, str]
         good = (n >= min_rows) & (aa > 0) & (bb > 0)
         return pd.DataFrame({"factor": names[good], "dt": pd.Series([key[0]] * int(good.sum()), dtype=object), "ic": np.round(ic[good], 12), "n": n[good]})
 
-    return wide.select("dt", ret, *bases).groupBy("dt").applyInPandas(block, "factor string, dt date, ic double, n bigint")
+    return R.spread(wide.select("dt", ret, *bases), "dt").groupBy("dt").applyInPandas(block, "factor string, dt date, ic double, n bigint")
 
 
 BLOCK_CELLS = 20_000_000

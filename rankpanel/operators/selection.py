@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.rolling import spread
+
 
 def topk_two_step(d: DataFrame, by: Sequence[str], value: str, k: int, out: str, tie: str = "symbol", splits: int = 64) -> DataFrame:
     """Exact top-k per group when a group may be huge: best k of every slice first, then of their union."""
@@ -75,18 +77,34 @@ def advance(held: dict[str, int], target: list[str]) -> dict[str, int]:
 FOLD_SCHEMA = "period int, symbol string, hold_days int"
 
 
+def decisions(pdf: pd.DataFrame, k: int):
+    """(period, enough valid scores, top k best first, rank01 by symbol) in time order."""
+    d = pdf.sort_values(["period", "pos"], na_position="last")
+    current, valid, top, r01 = None, 0, [], {}
+    for period, symbol, pos, rank, n_valid in zip(d["period"].tolist(), d["symbol"].tolist(), d["pos"].tolist(), d["r01"].tolist(), d["n_valid"].tolist()):
+        if period != current:
+            if current is not None:
+                yield int(current), valid >= k, top, r01
+            current, valid, top, r01 = period, n_valid, [], {}
+        r01[symbol] = rank
+        if pos is not None and pos <= k:
+            top.append(symbol)
+    if current is not None:
+        yield int(current), valid >= k, top, r01
+
+
 def fold_decisions(keys: Sequence[str], k: int, freq: int | None, delta: float, min_days: int):
     """Per strategy: run the decisions in order. Input holds only symbols that ever reach the top k."""
+
     def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
         held: dict[str, int] = {}
         out = []
         step = int(pdf["freq"].iloc[0]) if freq is None else freq
-        for period, g in pdf.sort_values("period").groupby("period"):
+        for period, enough, top, r01 in decisions(pdf, k):
             held = {s: d + step for s, d in held.items()}
-            if int(g["n_valid"].iloc[0]) >= k:
-                best = g[g["pos"].notna() & (g["pos"] <= k)].sort_values("pos")["symbol"].tolist()
-                held = advance(held, hysteresis_step(held, best, dict(zip(g["symbol"], g["r01"])), k, delta, min_days))
-                out += [(int(period), s, d) for s, d in held.items()]
+            if enough:
+                held = advance(held, hysteresis_step(held, top, r01, k, delta, min_days))
+                out += [(period, s, d) for s, d in held.items()]
         res = pd.DataFrame(out, columns=["period", "symbol", "hold_days"])
         for i, name in enumerate(keys):
             res.insert(i, name, key[i])
@@ -109,4 +127,4 @@ def stateful_selection(cand: DataFrame, keys: Sequence[str], k: int, freq: int |
     small = cand.join(ever, [*keys, "symbol"], "left_semi").select(*cols)
     types = dict(cand.dtypes)
     schema = ", ".join(f"{c} {types[c]}" for c in keys) + ", " + FOLD_SCHEMA
-    return small.groupBy(*keys).applyInPandas(fold_decisions(keys, k, freq, delta, min_days), schema)
+    return spread(small, *keys).groupBy(*keys).applyInPandas(fold_decisions(keys, k, freq, delta, min_days), schema)

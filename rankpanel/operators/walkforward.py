@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.rolling import spread
+
 
 def n_windows(bars: int, is_len: int, oos_len: int, step: int) -> int:
     return max(0, (bars - is_len - oos_len) // step + 1)
@@ -218,7 +220,7 @@ def matrix_ic(combos: DataFrame, weights: DataFrame, long: DataFrame, decisions:
         return pd.concat(out)[cols]
 
     schema = "combo string, win int, freq int, mean_ic double, ir double, positive_rate double, n_periods bigint"
-    return w.groupBy("win", "chunk").cogroup(rows.groupBy("win", "chunk")).applyInPandas(score, schema)
+    return spread(w, "win", "chunk").groupBy("win", "chunk").cogroup(spread(rows, "win", "chunk").groupBy("win", "chunk")).applyInPandas(score, schema)
 
 
 # ---------------------------------------------------------------- collapse

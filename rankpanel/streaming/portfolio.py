@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from ..operators.selection import advance, hysteresis_step
+from ..operators.selection import advance, decisions, hysteresis_step
 
 PROVIDER = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 STATE = "symbols array<string>, days array<int>, last_period int, config string"
@@ -32,19 +32,16 @@ class PortfolioProcessor(StatefulProcessor):
             else:
                 out.append((key[0], key[1], -1, None, 0, f"cold start: {s[3]} -> {self.config}"))
         data = pd.concat(list(rows))
-        for period, g in data.sort_values("period").groupby("period"):
-            period = int(period)
+        for period, enough, top, r01 in decisions(data, self.k):
             if last is not None and period <= last:
                 out.append((key[0], key[1], period, None, 0, "rejected: not after the last decision"))
                 continue
             # trading bars that passed since the last decision, also over missed ones
             held = {s: d + self.freq * (period - last if last is not None else 1) for s, d in held.items()}
             last = period
-            if int(g["n_valid"].iloc[0]) < self.k:
-                continue
-            best = g[g["pos"].notna() & (g["pos"] <= self.k)].sort_values("pos")["symbol"].tolist()
-            held = advance(held, hysteresis_step(held, best, dict(zip(g["symbol"], g["r01"])), self.k, self.delta, self.min_days))
-            out += [(key[0], key[1], period, s, int(d), "") for s, d in held.items()]
+            if enough:
+                held = advance(held, hysteresis_step(held, top, r01, self.k, self.delta, self.min_days))
+                out += [(key[0], key[1], period, s, int(d), "") for s, d in held.items()]
         self.state.update((list(held), [int(v) for v in held.values()], -1 if last is None else last, self.config))
         yield pd.DataFrame(out, columns=["kind", "combo", "period", "symbol", "hold_days", "note"])
 
