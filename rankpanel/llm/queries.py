@@ -44,3 +44,17 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = score(docs, fit(docs, table(spark, sf_dir, "labels"))).drop("text")
     return scored.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+
+
+@query
+def op7_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secret_scan import scan
+
+    return scan(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("redacted")
+
+
+@query
+def op5_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix
+
+    return mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).drop("text", "source")
