@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import ledger
 from .base import table
 
 QUERIES: dict = {}
@@ -58,3 +59,21 @@ def op5_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix
 
     return mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).drop("text", "source")
+
+
+@query
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ledger import evaluate, passes
+
+    led = evaluate(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return led.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", (~passes("base")).alias("base_failed"), passes("v1").alias("kept"), "failed")
+
+
+ORACLE["op6_quality_rules"] = ledger.ORACLE
+
+
+@query
+def op3_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .merkle import compare
+
+    return compare(table(spark, sf_dir, "documents").select("doc_id", "text"))
