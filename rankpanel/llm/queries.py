@@ -77,3 +77,14 @@ def op3_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .merkle import compare
 
     return compare(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query
+def op8_token_id_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..sources.io import scratch_path
+    from .keyed_shards import read_all, write_shards
+    from .token_ids import share_vocabulary
+
+    root = scratch_path(spark, "shards")
+    manifest = write_shards(table(spark, sf_dir, "documents"), share_vocabulary(spark, TOKENIZER), root)
+    return read_all(spark, root, manifest)
