@@ -88,3 +88,17 @@ def op8_token_id_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = scratch_path(spark, "shards")
     manifest = write_shards(table(spark, sf_dir, "documents"), share_vocabulary(spark, TOKENIZER), root)
     return read_all(spark, root, manifest)
+
+
+@query
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_cut import extract
+
+    return extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
+@query
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language_id import identify
+
+    return identify(table(spark, sf_dir, "pages").select("page_id", "url", "html"), table(spark, sf_dir, "documents"))

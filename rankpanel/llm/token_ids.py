@@ -57,18 +57,26 @@ class TextEncoder:
                 yield end
                 continue
             parts = chunks(text)
-            memo = self._memo
-            new = set(parts).difference(memo)
-            if new:
-                if len(memo) > MEMO_CHUNKS:  # what is not met again during a generation is forgotten
-                    self._older, self._memo = memo, {}
-                    memo, new = self._memo, set(parts)
-                known = {c for c in new if c in self._older}
-                memo.update((c, self._older[c]) for c in known)
-                unknown = list(new - known)
-                for chunk, code in zip(unknown, self._tokenizer.encode_batch_fast(unknown, add_special_tokens=False) if unknown else ()):
-                    memo[chunk] = array("I", code.ids).tobytes()
-            yield b"".join(map(memo.__getitem__, parts)) + end
+            codes = list(map(self._memo.get, parts))
+            if None in codes:
+                self._learn({p for p, c in zip(parts, codes) if c is None})
+                codes = [self._memo[p] if c is None else c for p, c in zip(parts, codes)]
+            codes.append(end)
+            yield b"".join(codes)
+
+    def _learn(self, new: set[str]) -> None:
+        if len(self._memo) > MEMO_CHUNKS:  # what is not met again during a generation is forgotten
+            self._older, self._memo = self._memo, {}
+        memo, older = self._memo, self._older
+        unknown = []
+        for chunk in new:
+            if chunk in older:
+                memo[chunk] = older[chunk]
+            else:
+                unknown.append(chunk)
+        if unknown:
+            for chunk, code in zip(unknown, self._tokenizer.encode_batch_fast(unknown, add_special_tokens=False)):
+                memo[chunk] = array("I", code.ids).tobytes()
 
 
 def share_vocabulary(spark: SparkSession, path: str) -> Broadcast:
