@@ -249,20 +249,21 @@ def gram_correlations(wide: DataFrame, names: Sequence[str]) -> DataFrame:
     return d.where("corr is not null")
 
 
-def components(nodes: DataFrame, edges: DataFrame, rounds: int = 50) -> DataFrame:
-    """Connected components by spreading the smallest label; lineage is cut in the checkpoint folder."""
+def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Connected components by spreading the smallest label and then following labels of labels, until none moves."""
     both = edges.select(F.col("a").alias("x"), F.col("b").alias("y")).unionByName(edges.select(F.col("b").alias("x"), F.col("a").alias("y"))).distinct()
     both = cut_lineage(both)
     lab = cut_lineage(nodes.select("factor", F.col("factor").alias("component")))
-    for _ in range(rounds):
+    while True:
         near = both.join(lab, both["y"] == lab["factor"]).groupBy("x").agg(F.min("component").alias("m"))
         nxt = lab.join(near, lab["factor"] == near["x"], "left").select("factor", F.least("component", F.coalesce("m", "component")).alias("component"), F.col("component").alias("old"))
+        hop = nxt.select(F.col("factor").alias("at"), F.col("component").alias("next"))
+        nxt = nxt.join(hop, nxt["component"] == hop["at"]).select("factor", F.least("component", "next").alias("component"), "old")
         nxt = cut_lineage(nxt)
         moved = nxt.where("component <> old").limit(1).count()
         lab = nxt.select("factor", "component")
         if moved == 0:
             return lab
-    raise RuntimeError("components did not settle; raise `rounds`")
 
 
 def prune(scores: DataFrame, edges: DataFrame, limit: float = 0.7, keep: int | None = None) -> DataFrame:

@@ -106,16 +106,17 @@ def block_bootstrap(d: DataFrame, n_boot: int, block: int, seed: int, size: int
     keys = list(keys)
     pos = d.withColumn("pos", F.row_number().over(_w(keys)) - 1).select(*keys, "pos", "r")
     n = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    draws = n.withColumn("len", F.least(F.lit(size or 2**30), F.col("n"))).withColumn("boot", F.explode(F.sequence(F.lit(1), F.lit(n_boot))))
+    draws = n.withColumn("len", F.least(F.lit(size), F.col("n")) if size else F.col("n")).withColumn("boot", F.explode(F.sequence(F.lit(1), F.lit(n_boot))))
     draws = draws.withColumn("blk", F.explode(F.sequence(F.lit(0), (F.ceil(F.col("len") / block) - 1).cast("int"))))
-    start = F.pmod(F.xxhash64(F.lit(seed), "boot", "blk"), F.col("n") - block + 1)
+    # a series shorter than a block wraps around, so its draws differ too
+    start = F.pmod(F.xxhash64(F.lit(seed), "boot", "blk"), F.when(F.col("n") < block, F.col("n")).otherwise(F.col("n") - block + 1))
     rows = draws.withColumn("start", start).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(block - 1))))
-    rows = rows.select(*keys, "boot", "len", (F.col("start") + F.col("k")).cast("int").alias("pos"), (F.col("blk") * block + F.col("k")).alias("dt")).where(F.col("dt") < F.col("len"))
+    rows = rows.select(*keys, "boot", "len", F.pmod(F.col("start") + F.col("k"), F.col("n")).cast("int").alias("pos"), (F.col("blk") * block + F.col("k")).alias("dt")).where(F.col("dt") < F.col("len"))
     s = equity(rows.join(pos, [*keys, "pos"]), [*keys, "boot"])
     s = drawdown(s, [*keys, "boot"])
     return s.groupBy(*keys, "boot").agg(
         compound("r").alias("total_return"), F.avg("r").alias("m"), F.stddev_samp("r").alias("s"), F.min("dd").alias("max_drawdown"), F.count(F.lit(1)).alias("n")
-    ).withColumn("sharpe", F.try_divide(F.col("m"), F.col("s")) * math.sqrt(PER_YEAR))
+    ).withColumn("sharpe", F.try_divide(F.pow(F.col("total_return") + 1, PER_YEAR / F.col("n")) - 1, F.col("s") * math.sqrt(PER_YEAR)))  # annual return over annual volatility
 
 
 def pair_risk(a: DataFrame, b: DataFrame, market: DataFrame) -> DataFrame:

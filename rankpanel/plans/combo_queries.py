@@ -228,7 +228,7 @@ def c10(spark, sf):
 
 @query("c_10_combo_performance")
 def c10p(spark, sf):
-    d = WF.collapse(best(spark, sf).drop("freq").join(best(spark, sf).select("combo", "win", "freq"), ["combo", "win"]), oos_perf(spark, sf).drop("freq"))
+    d = WF.collapse(best(spark, sf), oos_perf(spark, sf).drop("freq"))
     return rounded(d.select("combo", "mean_oos_return", "cum_oos_return", "mean_oos_sharpe", "mean_oos_maxdd"))
 
 
@@ -241,13 +241,13 @@ _SG = f"""tt AS (SELECT combo, mean_oos_ic / (s1 / sqrt(windows)) AS t, windows
  pq AS (SELECT combo, p_value, least(1.0, min(p_value * n / i) OVER (ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS q_value FROM po)"""
 
 
-@query("c_12_significance", f"WITH {WFO}, {_COL}, {_SG} SELECT combo, round(p_value, 6) AS p_value, round(q_value, 6) AS q_value, q_value <= 0.05 AS is_significant FROM pq")
+@query("c_12_significance", f"WITH {WFO}, {_COL}, {_SG} SELECT combo, round(p_value, 6) AS p_value, round(q_value, 6) AS q_value, q_value < 0.05 AS is_significant FROM pq")
 def c12(spark, sf):
     d = collapsed(spark, sf)
     t = F.try_divide(F.col("mean_oos_ic"), F.col("s1") / F.sqrt("windows"))
     d = d.select("combo", F.when(F.col("windows") < 2, F.lit(1.0)).otherwise(F.round(t_upper(t, F.col("windows") - 1), 10)).alias("p_value"))
     q = M.benjamini_hochberg(d, "p_value", "combo")
-    return rounded(q.select("combo", "p_value", "q_value", F.col("reject").alias("is_significant")))
+    return rounded(q.select("combo", "p_value", "q_value", (F.col("q_value") < 0.05).alias("is_significant")))
 
 
 _RU = lambda c, hi=True: f"{'' if hi else '1 - '}((rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2.0 - 1) / greatest(count(*) OVER () - 1, 1))"
@@ -319,7 +319,7 @@ def c17(spark, sf):
 @query("c_18_greedy_basket")
 def c18(spark, sf):
     # one return series per combination: windows follow each other in time
-    p = oos_periods(spark, sf, 0.0, 0).select("combo", (F.col("win") * 1000 + F.col("period")).alias("period"), "net")
+    p = oos_periods(spark, sf, 0.0, 0).select("combo", F.format_string("%010d.%010d", "win", "period").alias("period"), "net")
     return SR.chosen_frame(spark, SR.basket(named(spark, sf), p, "st", 4, 0.1, 0.1, 0.5, 0.95), "objective")
 
 
@@ -327,7 +327,7 @@ def c18(spark, sf):
 def c19(spark, sf):
     from .portfolio_queries import plain_holdings, scores  # noqa: F401
 
-    top = named(spark, sf).orderBy(F.desc("st"), "combo").limit(8)  # the shortlist to score exhaustively
+    top = named(spark, sf)  # every combination enters the exhaustive score
     last = S.ranked_candidates(
         WF.combo_signals(weights(spark, sf), zlong(spark, sf), decisions(spark, sf)).withColumnRenamed("signal", "score").where(F.col("win") == n_windows_last(spark, sf)),
         ["combo", "sig_bar"],

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,6 +28,20 @@ def build_session(app: str = "rankpanel", master: str | None = None, shuffle_par
     return b.getOrCreate()
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give executors this package where their PYTHONPATH does not have it; once per application."""
+    root = Path(__file__).resolve().parents[1]
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED or str(root) in os.environ.get("PYTHONPATH", "").split(os.pathsep):
+        return
+    zipped = shutil.make_archive(f"{tempfile.mkdtemp(prefix='spark-')}/{Path(__file__).parent.name}", "zip", root, Path(__file__).parent.name)
+    spark.sparkContext.addPyFile(zipped)
+    _SHIPPED.add(app)
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named by the cluster; a temporary one only where none is set (tests)."""
     sc = spark.sparkContext

@@ -37,12 +37,16 @@ def read_table(spark: SparkSession, path: str, schema, fmt: str = "parquet") ->
 
 
 def publish_run(df: DataFrame, root: str, run_id: str) -> None:
-    """Write one run, then its marker row. Readers join on the markers, so half-written runs stay invisible."""
+    """Write one attempt of a run, then the marker row that names it.
+
+    Readers see marked attempts only: a run that fails before its marker stays invisible, also once it is retried.
+    """
     spark = df.sparkSession
-    df.withColumn("run_id", F.lit(run_id)).write.mode("append").partitionBy("run_id").parquet(f"{root}/data")
-    spark.createDataFrame([(run_id,)], "run_id string").withColumn("committed_at", F.current_timestamp()).write.mode("append").parquet(f"{root}/runs")
+    attempt = uuid.uuid4().hex
+    df.withColumn("run_id", F.lit(run_id)).withColumn("attempt", F.lit(attempt)).write.mode("append").partitionBy("run_id", "attempt").parquet(f"{root}/data")
+    spark.createDataFrame([(run_id, attempt)], "run_id string, attempt string").withColumn("committed_at", F.current_timestamp()).write.mode("append").parquet(f"{root}/runs")
 
 
 def read_latest_run(spark: SparkSession, root: str) -> DataFrame:
-    latest = spark.read.parquet(f"{root}/runs").agg(F.max_by("run_id", "committed_at").alias("run_id")).first()["run_id"]
-    return spark.read.parquet(f"{root}/data").where(F.col("run_id") == latest).drop("run_id")
+    latest = spark.read.parquet(f"{root}/runs").agg(F.max_by("attempt", "committed_at").alias("attempt")).first()["attempt"]
+    return spark.read.parquet(f"{root}/data").where(F.col("attempt") == latest).drop("run_id", "attempt")

@@ -19,9 +19,14 @@ def normalise_date(raw) -> Column:
 
 
 def keep_last(df: DataFrame, keys: list[str], version: str) -> DataFrame:
-    """One row per key, the newest version. A map-side combined aggregate, so hot keys stay small."""
-    rest = [c for c in df.columns if c not in keys and c != version]
-    return df.groupBy(*keys).agg(*[F.max_by(c, version).alias(c) for c in rest], F.max(version).alias(version))
+    """One whole row per key, the newest version; equal versions are settled by the row's content.
+
+    A map-side combined aggregate, so hot keys stay small.
+    """
+    rest = [c for c in df.columns if c not in keys]
+    row = F.struct(*rest)
+    newest = df.groupBy(*keys).agg(F.max_by(row, F.struct(F.col(version), F.to_json(row))).alias("__row"))
+    return newest.select(*keys, *[F.col("__row")[c].alias(c) for c in rest if c != version], F.col("__row")[version].alias(version))
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str], version: str) -> DataFrame:
