@@ -31,7 +31,7 @@ SAMPLE = 1200  # labelled documents of each class that the fit uses at most
 BUCKETS = 1 << 18
 DIM, EPOCHS, RATE, GRAMS = 8, 6, 0.5, (3, 4)
 REPEAT_WEIGHT = 8  # a repeat counts as this many features
-MEMO_WORDS = 500_000
+MEMO_WORDS = 150_000  # words in each of a worker's two generations
 THRESHOLD = 0.7
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _SAME = zlib.crc32(b"=\0=") % BUCKETS
@@ -97,17 +97,20 @@ def train(rows: list[tuple[str | None, int]], seed: int = 7) -> tuple[np.ndarray
 
 class Scorer:
     def __init__(self, weights: np.ndarray, bias: float):
-        self._w, self._bias, self._memo = weights.astype(np.float64).tolist(), bias, {}
+        self._w, self._bias = weights.astype(np.float64).tolist(), bias
+        self._memo: dict[str, float] = {}
+        self._older: dict[str, float] = {}
 
     def score(self, text: str | None) -> float:
         words = _WORD.findall(text or "")
         memo, weights = self._memo, self._w
         new = set(words).difference(memo)
-        if len(memo) > MEMO_WORDS and new:
-            memo.clear()
-            new = set(words)
+        if len(memo) > MEMO_WORDS and new:  # what is not met again during a generation is forgotten
+            self._older, self._memo = memo, {}
+            memo, new = self._memo, set(words)
         for w in new:
-            memo[w] = sum([weights[f] for f in word_features(w)])
+            known = self._older.get(w)
+            memo[w] = sum([weights[f] for f in word_features(w)]) if known is None else known
         same = REPEAT_WEIGHT * repeats(words)
         total = sum(map(memo.__getitem__, words)) + same * weights[_SAME]
         n = (n_features(words) if words else 0) + same

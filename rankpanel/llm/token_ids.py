@@ -18,7 +18,7 @@ from pyspark import Broadcast
 from pyspark.sql import SparkSession
 
 END_ID = 2
-MEMO_CHUNKS = 600_000  # distinct chunks in each of a worker's two generations
+MEMO_CHUNKS = 300_000  # distinct chunks in each of a worker's two generations
 
 # both neighbours visible ASCII or Latin letters: white space under no library's definition
 _VISIBLE = "!-~À-ɏ"
