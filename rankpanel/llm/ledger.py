@@ -19,6 +19,7 @@ from .base import SPACES, WORD
 RULES = ("few_words", "repeated_windows", "symbols", "capitals", "repeated_lines", "word_length")
 POLICIES = {"base": ("few_words", "repeated_windows"), "v1": RULES}
 WINDOW = 5
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_capitals", "n_lines", "n_dup_lines", "n_repeat_words", "failed")
 
 
 def mask(policy: str) -> int:
@@ -31,7 +32,7 @@ def _without(text: Column, letters: str) -> Column:
 
 def evaluate(docs: DataFrame) -> DataFrame:
     """`docs` without its text, with measurements and `failed`, the failure bits."""
-    rest = [c for c in docs.columns if c != "text"]
+    rest = [c for c in docs.columns if c not in ("text", *MEASURES)]  # same names are replaced
     t = F.coalesce("text", F.lit(""))
     lines = F.filter(F.split("__t", "\n"), lambda x: F.length(F.translate(x, SPACES, "")) > 0)
     d = docs.select(*rest, t.alias("__t"))

@@ -15,12 +15,15 @@ Repeated rows count as documents of their own. A null id hashes like an empty on
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .base import SPACES, WORD
+from .base import WORD, settle
 
+ADDED = ("size", "source_size", "target", "taken")  # a column of these names is replaced
 SLICE = 1000  # documents of one slice, on average
 
 
@@ -53,14 +56,20 @@ def targets(sources: DataFrame, cap: int = 3, cycle: int = 3) -> DataFrame:
     return s.withColumn("target", F.least(F.col("stop").cast("double"), F.col("level") * F.col("w"))).select("source", "source_size", "target", *[c for c in sources.columns if c not in ("source", "source_size")])
 
 
-def mix(docs: DataFrame, cap: int = 3, cycle: int = 3) -> DataFrame:
-    """Every column of `docs` and size, source_size, target, taken. `docs` has doc_id, source and text."""
-    sized = docs.withColumn("size", n_words(F.col("text")))
+def mix(docs: DataFrame, cap: int = 3, cycle: int = 3, keep: Sequence[str] | None = None) -> DataFrame:
+    """The columns `keep` of `docs` (all by default) and size, source_size, target, taken. `docs` has doc_id, source and text.
+
+    Texts are read once: the kept columns are settled with sizes and keys, and later passes read narrow columns.
+    """
+    keep = list(docs.columns if keep is None else keep)
+    sized = docs.drop("size").withColumn("size", n_words(F.col("text")))
     keyed = sized.withColumn("key", -F.log(uniform(F.col("doc_id"))) / symbol_weight(F.col("text"), F.col("size")))
+    keyed = settle(keyed.select(F.struct(*[c for c in keep if c not in ADDED], "size").alias("row"), "doc_id", "source", "size", "key"), "sized")
     light = keyed.select("doc_id", "source", "size", "key")
     per_source = light.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
     src = targets(per_source, cap, cycle).withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0))
     src = src.withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size")).withColumn("slices", F.ceil(F.col("n") / SLICE))
+    src = settle(src, "targets")  # one row per source: small ones are broadcast by the optimizer's own size check
     slice_ = F.floor((F.lit(1.0) - F.exp(-F.col("key"))) * F.col("slices"))
 
     def with_source(df: DataFrame, facts: DataFrame) -> DataFrame:
@@ -72,15 +81,15 @@ def mix(docs: DataFrame, cap: int = 3, cycle: int = 3) -> DataFrame:
     sums = sums.withColumn("before", F.coalesce(F.sum("words").over(before), F.lit(0)))
     border = with_source(sums, src.select("source", "rest")).where((F.col("before") <= F.col("rest")) & (F.col("rest") < F.col("before") + F.col("words")))
     edge = src.join(border.select(F.col("source").alias("b"), F.col("slice").alias("at"), "before"), F.col("source").eqNullSafe(F.col("b")), "left").drop("b")
+    edge = settle(edge, "borders")
     at = F.col("at")
-    whole = with_source(keyed, edge).withColumn("slice", slice_)
-    near = whole.where(F.col("slice") == at).select("source", "slice", "doc_id", "size", "key", "before", "rest")
+    near = with_source(light, edge).withColumn("slice", slice_).where(F.col("slice") == at).select("source", "slice", "doc_id", "size", "key", "before", "rest")
     order = W.partitionBy("source").orderBy("key", "doc_id", "size")
-    near = near.withColumn("upto", F.col("before") + F.sum("size").over(order.rowsBetween(W.unboundedPreceding, -1)))
-    near = near.withColumn("upto", F.coalesce("upto", "before"))
+    near = near.withColumn("upto", F.col("before") + F.coalesce(F.sum("size").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
     # the last document that still brings the sum nearer, as a (key, id, size) to compare with
     last = near.where(F.col("upto") + F.col("size") / 2 <= F.col("rest")).groupBy("source").agg(F.max(F.struct("key", "doc_id", "size")).alias("last")).withColumnRenamed("source", "l")
-    out = whole.join(last, F.col("source").eqNullSafe(F.col("l")), "left").drop("l")
+    edge = settle(edge.join(last, F.col("source").eqNullSafe(F.col("l")), "left").drop("l"), "borders")
+    out = with_source(keyed, edge).withColumn("slice", slice_)
     chosen = F.when(at.isNull(), F.col("rest") > 0).otherwise((F.col("slice") < at) | (F.col("slice") == at) & F.coalesce(F.struct("key", "doc_id", "size") <= F.col("last"), F.lit(False)))
     taken = F.col("size") * (F.col("epochs") + F.when(chosen, 1).otherwise(0))
-    return out.select(*docs.columns, "size", "source_size", "target", taken.cast("long").alias("taken"))
+    return out.select("row.*", "source_size", "target", taken.cast("long").alias("taken"))

@@ -58,7 +58,7 @@ def op7_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix
 
-    return mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).drop("text", "source")
+    return mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), keep=["doc_id"])
 
 
 @query

@@ -120,7 +120,7 @@ def redact(text: str | None, found: list[tuple[int, int, int]]) -> str | None:
 def scan(docs: DataFrame) -> DataFrame:
     """Every column of `docs` but the text, with counts, digests, spans and the redacted text."""
     added = "n_assign long, n_access long, n_hex long, n_guess long, base_sha256 string, spans string, redacted string"
-    keep = [c for c in docs.columns if c != "text"]
+    keep = [c for c in docs.columns if c != "text" and f" {c} " not in f" {added}".replace(",", "")]  # same names are replaced
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

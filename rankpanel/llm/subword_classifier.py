@@ -143,7 +143,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
-    """Every column of `docs` and `score`."""
+    """Every column of `docs`, and `score`."""
+    docs = docs.drop("score")  # a column of this name is replaced
     shared = docs.sparkSession.sparkContext.broadcast(model)  # one number per bucket
     at = docs.columns.index("text")
 

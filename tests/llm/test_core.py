@@ -179,7 +179,7 @@ def test_classifier_learns(spark, docs):
     labels = spark.createDataFrame([(i, int(i >= 35), 0) for i in range(20, 50)] + [(None, 1, 0), (21, None, 0)], "doc_id long, quality int, toxic int")
     junk = docs.withColumn("text", subword_classifier.F.when(subword_classifier.F.col("doc_id").between(20, 34), subword_classifier.F.upper("text")).otherwise(subword_classifier.F.col("text")))
     model = subword_classifier.fit(junk, labels)
-    plain = junk.drop("score")
+    plain = junk
     got = {r.doc_id: r.score for r in subword_classifier.score(plain, model).collect()}
     assert all((got[i] > 0.5) == (i >= 35) for i in range(20, 50)) and 0 <= got[5] <= 1
     assert subword_classifier.fit(junk, labels)[1] == model[1]
@@ -200,3 +200,10 @@ def test_empty_tables(spark, docs):
     v = share_vocabulary(spark, PATH)
     assert packing.pack(packing.token_pieces(none, v, 64), 64).count() == 0
     assert simhash.near_groups(none).count() == 0 and mixing.mix(none).count() == 0 and secret_scan.scan(none).count() == 0
+
+
+def test_clashing_names(spark, docs):
+    d = docs.selectExpr("doc_id", "source", "text", "'q' AS size", "1 AS rest", "2 AS key", "3 AS at", "'x' AS spans", "4 AS n_hex")
+    out = mixing.mix(d)
+    assert out.count() == d.count() and {r.rest for r in out.select("rest").collect()} == {1} and dict(out.dtypes)["size"] == "bigint"
+    assert secret_scan.scan(d).columns.count("spans") == 1 and secret_scan.scan(d).count() == d.count()
