@@ -73,7 +73,7 @@ def successors(keys: DataFrame) -> DataFrame:
 
 def compare(docs: DataFrame) -> DataFrame:
     """Every document against its own edited text and against the next document."""
-    base = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(FIRST)).alias("id"), F.coalesce("text", F.lit("")).alias("text"))
+    base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(FIRST)).alias("id"), F.coalesce("text", F.lit("")).alias("text"))
     base = base.withColumn("h", F.xxhash64("text"))
     order = settle(successors(base.select("id", "h", F.length("text").alias("n")).distinct()), "successors")
     asked = order.select(F.col("id").alias("c_id"), F.col("h").alias("c_h"), "n", F.col("next_id").alias("id"), F.col("next_h").alias("h"))
@@ -84,7 +84,9 @@ def compare(docs: DataFrame) -> DataFrame:
         heads = heads.dropDuplicates(["id", "h"])
     d = base.join(heads, ["id", "h"])
     n = F.length("text")
-    d = d.select("doc_id", "text", "head", "next_leaves", n.cast("long").alias("n_chars"), F.concat(F.expr("substring(text, 1, length(text) - cast(floor(length(text) / 4) as int))"), F.col("head")).alias("edited"))
+    # both joins take the same columns, so texts are shuffled once; the id stands for doc_id
+    doc_id = F.when(F.col("id") != FIRST, F.col("id")).alias("doc_id")
+    d = d.select(doc_id, "text", "head", "next_leaves", n.cast("long").alias("n_chars"), F.concat(F.expr("substring(text, 1, length(text) - cast(floor(length(text) / 4) as int))"), F.col("head")).alias("edited"))
     d = with_tree(with_tree(d, "text", "fingerprint"), "edited", "edited_fingerprint")
     return d.select(
         "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint",
