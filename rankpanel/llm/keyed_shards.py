@@ -1,11 +1,11 @@
 """Token ids in shards with a minimal perfect hash index: constant-time access by document key.
 
-A shard is two files. `<name>.ids` is the raw payload: little-endian unsigned 32-bit ids, documents back to back in
-ascending key order. `<name>.idx` is an uncompressed numpy archive with: the keys in order (`keys`), a
+A shard is two files. `<name>.ids` is the raw payload: little-endian unsigned ids, documents back to back in
+ascending key order; an id takes `width` bytes, 2 where the whole vocabulary fits and else 4. `<name>.idx` is an uncompressed numpy archive with: the keys in order (`keys`), a
 minimal perfect hash of the distinct keys (`sizes`, `bits`, `ranks`: one bit array per level, keys that
 collide on a level go on to the next, a key's slot is the number of set bits before its own), and per slot a
 32-bit fingerprint (`prints`), the first document's place (`first`) and the number of documents of that key (`times`);
-`starts` has the id offset of each document in order and the total.
+`starts` has the id offset of each document in order and the total; `width` the bytes of an id.
 
 Shards are cut by range on (key, hash of the text), so neither order nor a repeated key gathers in one task.
 Every task attempt writes files of its own name and returns one manifest row; the manifest is written
@@ -108,6 +108,7 @@ def write_shards(docs: DataFrame, vocabulary: Broadcast, root: str, end_id: int
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
         enc, keys, sizes, out = encoder(vocabulary), [], [], None
+        narrow = max(enc.largest_id, end_id) < 1 << 16
         store, folder = _open(root)
         name = uuid.uuid4().hex
         for b in batches:
@@ -116,14 +117,14 @@ def write_shards(docs: DataFrame, vocabulary: Broadcast, root: str, end_id: int
                 out = store.open_output_stream(f"{folder}/{name}.ids")
             keys += b.column(0).to_pylist()
             for ids in enc.encode(b.column(1).to_pylist(), end_id):
-                out.write(ids)
+                out.write(np.frombuffer(ids, "<u4").astype("<u2").tobytes() if narrow else ids)
                 sizes.append(len(ids) // 4)
         if out is None:
             return
         out.close()
         order = np.array(keys, np.int64)
         packed = io.BytesIO()
-        np.savez(packed, keys=order, starts=np.r_[0, np.cumsum(sizes)].astype(np.int64), **build_index(order))
+        np.savez(packed, width=np.array(2 if narrow else 4), keys=order, starts=np.r_[0, np.cumsum(sizes)].astype(np.int64), **build_index(order))
         with store.open_output_stream(f"{folder}/{name}.idx") as f:
             f.write(packed.getbuffer())
         row = [name], [keys[0]], [keys[-1]], [len(keys)], [int(sum(sizes))]
@@ -142,13 +143,13 @@ class Shard:
         self._payload = store.open_input_file(f"{folder}/{name}.ids")
 
     def documents(self, keys: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
-        """(position of the key asked for, start in the shard, raw ids) of every document found."""
-        starts = self.index["starts"]
+        """(position of the key asked for, start in the shard, ids of 4 bytes) of every document found."""
+        starts, width = self.index["starts"], int(self.index["width"])
         for k, (first, times) in enumerate(zip(*find(self.index, keys))):
             for doc in range(first, first + times):
                 a, b = int(starts[doc]), int(starts[doc + 1])
-                self._payload.seek(4 * a)
-                yield k, a, self._payload.read(4 * (b - a))
+                self._payload.seek(width * a)
+                yield k, a, np.frombuffer(self._payload.read(width * (b - a)), f"<u{width}").astype("<u4").tobytes()
 
     def close(self) -> None:
         self._payload.close()

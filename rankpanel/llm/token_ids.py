@@ -46,6 +46,7 @@ class TextEncoder:
         self._tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self._tokenizer.no_padding()
         self._tokenizer.no_truncation()
+        self.largest_id = max(self._tokenizer.get_vocab().values(), default=0)
         self._memo: dict[str, bytes] = {}
         self._older: dict[str, bytes] = {}
 
