@@ -14,12 +14,22 @@ from ..sources.io import scratch_path
 
 WORD = r"[^\x20\x09-\x0D]+"  # the words of every operator here
 SPACES = " \t\n\x0b\x0c\r"
+BATCH_ROWS = 1000  # whole texts that cross to a Python worker at a time
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """`df`, after seeing to it that this session's Arrow batches hold BATCH_ROWS rows at most: rows here are whole texts."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    rows = int(df.sparkSession.conf.get(key))
+    if not 0 < rows <= BATCH_ROWS:
+        df.sparkSession.conf.set(key, BATCH_ROWS)
+    return df
+
+
 def settle(df: DataFrame, name: str) -> DataFrame:
     """Write once to the shared folder and read back: short plans, fixed row placement, nothing to recompute."""
     path = scratch_path(df.sparkSession, name)

@@ -20,6 +20,8 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from .base import small_batches
+
 # fixed values: tag roles of HTML and words that name page furniture
 BLOCKS = set("html body main article section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tr td th blockquote pre figure figcaption hr nav header footer aside form fieldset menu address details summary dialog".split())
 RAW = set("script style head noscript template svg iframe textarea select option button object canvas title".split())
@@ -165,4 +167,4 @@ def extract(pages: DataFrame, column: str = "html") -> DataFrame:
             texts = [main_text(h) for h in pdf[column]]
             yield pdf[[c for c, _ in keep]].assign(text=texts, n_chars=[len(t) for t in texts])
 
-    return pages.mapInPandas(run, ", ".join([*(f"`{c}` {t}" for c, t in keep), "text string, n_chars long"]))
+    return small_batches(pages).mapInPandas(run, ", ".join([*(f"`{c}` {t}" for c, t in keep), "text string, n_chars long"]))

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .base import settle
+from .base import settle, small_batches
 from .token_ids import END_ID, encoder
 
 NULL_KEY = -(1 << 63)
@@ -130,7 +130,7 @@ def write_shards(docs: DataFrame, vocabulary: Broadcast, root: str, end_id: int
         row = [name], [keys[0]], [keys[-1]], [len(keys)], [int(sum(sizes))]
         yield pa.RecordBatch.from_arrays([pa.array(c) for c in row], names=["name", "low", "high", "n_docs", "n_ids"])
 
-    return settle(laid.mapInArrow(write, MANIFEST), "manifest")
+    return settle(small_batches(laid).mapInArrow(write, MANIFEST), "manifest")
 
 
 class Shard:

@@ -23,7 +23,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import numbered
+from .base import numbered, small_batches
 from .token_ids import END_ID, encoder
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -52,7 +52,7 @@ def token_pieces(docs: DataFrame, vocabulary: Broadcast, size: int, end_id: int
             n = 6 if keep_ids else 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols[:n], kinds)], names=names[:n])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, PIECES + (", ids binary" if keep_ids else ""))
+    return small_batches(docs.select(F.col("doc_id").cast("long"), "text")).mapInArrow(run, PIECES + (", ids binary" if keep_ids else ""))
 
 
 def best_two_fit(counts: dict[int, int], size: int) -> list[tuple[list[int], int]]:

@@ -21,6 +21,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .base import small_batches
+
 KINDS = ("assign", "access", "hex", "guess")
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")  # runs are maximal either way: the same as matching all and dropping the short
@@ -133,7 +135,7 @@ def scan(docs: DataFrame) -> DataFrame:
             yield pd.concat([pdf[keep].reset_index(drop=True), pd.DataFrame(rows, columns=[c.split()[0] for c in added.split(", ")])], axis=1)
 
     types = dict(docs.dtypes)
-    return docs.mapInPandas(run, ", ".join([*(f"`{c}` {types[c]}" for c in keep), added]))
+    return small_batches(docs).mapInPandas(run, ", ".join([*(f"`{c}` {types[c]}" for c in keep), added]))
 
 
 def without_secrets(docs: DataFrame) -> DataFrame:

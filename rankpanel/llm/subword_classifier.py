@@ -27,6 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from .base import small_batches
+
 SAMPLE = 1200  # labelled documents of each class that the fit uses at most
 BUCKETS = 1 << 18
 DIM, EPOCHS, RATE, GRAMS = 8, 6, 0.5, (3, 4)
@@ -158,4 +160,4 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
             scores = pa.array(array("d", map(scorer.score, b.column(at).to_pylist())), pa.float64())
             yield pa.RecordBatch.from_arrays([*b.columns, scores], names=[*b.schema.names, "score"])
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("score", DoubleType())]))
+    return small_batches(docs).mapInArrow(run, StructType([*docs.schema.fields, StructField("score", DoubleType())]))
