@@ -16,7 +16,7 @@ from rankpanel.llm.mixing import mix
 from rankpanel.llm.packing import pack, token_pieces
 from rankpanel.llm.queries import SEQUENCE, TOKENIZER
 from rankpanel.llm.secret_scan import without_secrets
-from rankpanel.llm.simhash import near_groups
+from rankpanel.llm.simhash import survivors, text_key
 from rankpanel.llm.subword_classifier import THRESHOLD, fit, score
 from rankpanel.llm.token_ids import share_vocabulary
 
@@ -27,18 +27,20 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest id of each group of near copies; of rows repeating that id, one.
+    """One row of each group of near copies: that of smallest id (null after all others), then of smallest text hash.
 
-    Texts do not move: the losing ids are a narrow table, and only groups of two or more rows are in it.
+    Rows are told apart by id and text, so a null id or an id with several texts loses no unique text. Of rows that
+    repeat both, the one of smallest other columns stays; only such rows are gathered.
     """
-    groups = near_groups(docs)
-    kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    out = docs.join(kept, "doc_id", "left_semi")
-    repeats = kept.join(docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "doc_id", "left_semi")
+    kept = survivors(docs).select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), F.col("n").alias("__n"))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (text_key(F.col("text")) == F.col("__key"))
+    repeats = kept.where("__n > 1")
     if repeats.isEmpty():
-        return out
-    twice = out.join(repeats, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return out.join(repeats, "doc_id", "left_anti").unionByName(twice)
+        return docs.join(kept, same, "left_semi")
+    once = docs.join(kept.where("__n = 1"), same, "left_semi")
+    row = F.min(F.struct(*[c for c in docs.columns if c != "text"], "text")).alias("row")
+    twice = docs.join(repeats, same).groupBy("__id", "__key").agg(row).select(*[F.col(f"row.{c}").alias(c) for c in docs.columns])
+    return once.unionByName(twice)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .base import settle, small_batches
@@ -48,15 +48,17 @@ def fingerprint(text: str | None) -> int:
     return int.from_bytes(np.packbits(ones * 2 > n, bitorder="little").tobytes(), "little")
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp): the fingerprint as a signed long with the same bits."""
+def fingerprints(docs: DataFrame, *extra: str) -> DataFrame:
+    """(doc_id, fp) and the columns `extra`: the fingerprint as a signed long with the same bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps = np.array([fingerprint(t) for t in b.column(1).to_pylist()], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps)], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps), *b.columns[2:]], names=["doc_id", "fp", *extra])
 
-    return small_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).mapInArrow(run, "doc_id long, fp long")
+    types = dict(docs.dtypes)
+    schema = ", ".join(["doc_id long, fp long", *(f"`{c}` {types[c]}" for c in extra)])
+    return small_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *extra)).mapInArrow(run, schema)
 
 
 def _forest(cells: np.ndarray, fps: np.ndarray) -> dict[int, int]:
@@ -129,16 +131,34 @@ def components(edges: DataFrame) -> DataFrame:
     return e.toDF("node", "root").union(e.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()
 
 
+def rooted(first: DataFrame) -> DataFrame:
+    """A settled table of distinct `fp` with `root`, the same for all fingerprints of a component and for no others."""
+    found = first.join(components(links(first.select("fp"))), F.col("fp") == F.col("node"), "left")
+    return settle(found.select(*first.columns, F.coalesce("root", "fp").alias("root")), "roots")
+
+
 def near_groups(docs: DataFrame) -> DataFrame:
     """(doc_id, fp, component_id) for every row of `docs`."""
     marked = settle(fingerprints(docs), "fingerprints")
-    first = settle(marked.groupBy("fp").agg(F.min("doc_id").alias("first_doc")), "distinct")
-    roots = first.join(components(links(first.select("fp"))), F.col("fp") == F.col("node"), "left").select("fp", "first_doc", F.coalesce("root", "fp").alias("root"))
-    roots = settle(roots, "roots")
+    roots = rooted(settle(marked.groupBy("fp").agg(F.min("doc_id").alias("first_doc")), "distinct"))
     ids = roots.groupBy("root").agg(F.min("first_doc").alias("component_id"))
     named = roots.join(ids, "root").select("fp", "component_id")
     return marked.join(named, "fp")
 
 
+def text_key(text: Column) -> Column:
+    """Tells texts apart; null is not the empty text."""
+    return F.coalesce(F.md5(text), F.lit(""))
+
+
+def survivors(docs: DataFrame) -> DataFrame:
+    """(doc_id, text_key, n): of each component the row of least (doc_id, nulls last, text_key), and how many rows repeat it."""
+    marked = settle(fingerprints(docs.select("doc_id", "text", text_key(F.col("text")).alias("text_key")), "text_key"), "fingerprints")
+    rows = marked.groupBy("fp", "doc_id", "text_key").agg(F.count(F.lit(1)).alias("n"))
+    row = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "text_key", "n")
+    roots = rooted(settle(rows.groupBy("fp").agg(F.min(row).alias("row")), "distinct"))
+    return settle(roots.groupBy("root").agg(F.min("row").alias("row")).select("row.doc_id", "row.text_key", "row.n"), "survivors")
+
+
 def hex_digits(fp) :
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
