@@ -5,6 +5,10 @@ The method looks at values after credential words (also those the patterns do no
 passwords), and asks how many guesses the cheapest segmentation into words, dates, repeats, keyboard walks,
 sequences and brute-force spans needs; values that cost at least MIN_GUESSES become spans of kind `guess`.
 
+Words are ranked by the number of documents that have them outside credential contexts (so no secret lists itself),
+after a few fixed ones. A word needs MIN_DOCS documents, and the most frequent ones up to LISTED are listed; a word
+beyond the list costs what its letters cost, so a missing word can mask too much, but never leaves a secret.
+
 Offsets are code points, ends exclusive. Null texts count as empty and have no spans. Values overlapping a base
 span add nothing. The cost of a value is computed whole if it has up to LONGEST characters; a longer one is cut
 into pieces of that size whose costs add up, so its cost grows with its length. Extra columns pass through.
@@ -15,25 +19,29 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import small_batches
+from .base import settle, small_batches
 
 KINDS = ("assign", "access", "hex", "guess")
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")  # runs are maximal either way: the same as matching all and dropping the short
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _CONTEXT = re.compile(
-    r"""(?:\b(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|credentials?|(?:api|access|private|auth|secret)[_-]?key|client[_-]?secret)\b["']?\s{0,8}(?:[:=]|\bis\b)\s{0,8}|\bBearer\s{1,8})["']?([^\s"'<>,;]{6,})"""
+    r"""(?:(?<![a-z0-9])(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|credentials?|(?:api|access|private|auth|secret)[_-]?key|client[_-]?secret)\b["']?\s{0,8}(?:[:=]|\bis\b)\s{0,8}|(?<![a-z0-9])Bearer\s{1,8})["']?([^\s"'<>,;]{6,})"""
     r"""|[a-z][a-z0-9+]{1,20}://[^\s/:@]{1,200}:([^\s/@]{6,})@""",
     re.IGNORECASE | re.ASCII,
 )
 MIN_GUESSES = 1e8
 LONGEST = 64
+MIN_DOCS, LISTED = 3, 200_000
+HELD = 200_000  # distinct words that a task counts before it hands them on
 # fixed values: everyday words by rank, keyboard rows
 WORDS = (
     "password pass admin user login welcome letmein secret token test demo example sample changeme default guest root master hello monkey dragon sunshine princess "
@@ -41,7 +49,8 @@ WORDS = (
     "account email name house summer winter spring autumn january february march april may june july august september october november december monday friday"
 ).split()
 _RANK = {w: i + 2 for i, w in enumerate(dict.fromkeys(WORDS))}
-_MAX_WORD = max(map(len, _RANK))
+_LETTERS = re.compile(r"[^\W\d_]{3,}")
+_WORD_LENGTH = 32
 _ROWS = ("qwertyuiop", "asdfghjkl", "zxcvbnm", "1234567890", "abcdefghijklmnopqrstuvwxyz")
 _STEPS = {(a, b) for row in _ROWS for a, b in zip(row, row[1:])} | {(b, a) for row in _ROWS for a, b in zip(row, row[1:])}
 _LEET = str.maketrans("@4301$57!", "aaeoisstl")
@@ -52,7 +61,48 @@ def _space(c: str) -> int:
     return 10 if c.isdigit() else 26 if c.isalpha() and c.isascii() else 33 if c.isascii() else 100
 
 
-def _piece_cost(value: str) -> float:
+def _counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(word, n): documents of this task that have the word outside credential contexts."""
+    seen: Counter = Counter()
+    for pdf in batches:
+        for text in pdf["text"]:
+            if text:
+                seen.update(w for w in set(_LETTERS.findall(_CONTEXT.sub(" ", text).lower())) if len(w) <= _WORD_LENGTH)
+            if len(seen) > HELD:
+                yield pd.DataFrame({"word": list(seen), "n": list(seen.values())})
+                seen.clear()
+    yield pd.DataFrame({"word": list(seen), "n": list(seen.values())}).astype({"word": "object", "n": "int64"})
+
+
+def ranked_words(docs: DataFrame) -> list[str]:
+    """The words of `docs`, most frequent first; of equally frequent ones at the end of the list, all or none."""
+    words = small_batches(docs.select("text")).mapInPandas(_counts, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= MIN_DOCS)
+    words = settle(words, "words")
+    least, total = MIN_DOCS, 0
+    for n, k in sorted(map(tuple, words.groupBy("n").agg(F.count(F.lit(1))).collect()), reverse=True):
+        total += k
+        if total > LISTED:
+            least = n + 1
+            break
+    return [r.word for r in sorted(words.where(F.col("n") >= least).collect(), key=lambda r: (-r.n, r.word))]
+
+
+def ranks_of(words: Iterable[str]) -> dict[str, int]:
+    return {w: i + 2 for i, w in enumerate(dict.fromkeys([*WORDS, *words]))}
+
+
+_LISTS: dict[int, dict[str, int]] = {}
+
+
+def _ranks(shared: Broadcast) -> dict[str, int]:
+    """This worker's ranks of a broadcast list."""
+    if (key := hash(shared.value)) not in _LISTS:
+        _LISTS.clear()
+        _LISTS[key] = ranks_of(shared.value.split())
+    return _LISTS[key]
+
+
+def _piece_cost(value: str, ranks: dict[str, int]) -> float:
     """log10 of the guesses of the cheapest segmentation: dynamic programming over end positions."""
     low, n = value.lower(), len(value)
     plain = low.translate(_LEET)
@@ -62,8 +112,8 @@ def _piece_cost(value: str) -> float:
         best[j] = min(best[j], best[i] + math.log10(guesses))
 
     for i in range(n):
-        for j in range(i + 1, min(n, i + _MAX_WORD) + 1):
-            if (rank := _RANK.get(plain[i:j])) is not None:
+        for j in range(i + 1, min(n, i + _WORD_LENGTH) + 1):
+            if (rank := ranks.get(plain[i:j])) is not None:
                 offer(i, j, rank * (1 if value[i:j] == plain[i:j] else 4))
         for m in [_DATE.match(value, i)]:
             if m:
@@ -82,12 +132,12 @@ def _piece_cost(value: str) -> float:
     return best[n]
 
 
-def guess_cost(value: str) -> float:
+def guess_cost(value: str, ranks: dict[str, int] = _RANK) -> float:
     """log10 of the guesses that `value` costs."""
-    return sum(_piece_cost(value[i : i + LONGEST]) for i in range(0, len(value), LONGEST))
+    return sum(_piece_cost(value[i : i + LONGEST], ranks) for i in range(0, len(value), LONGEST))
 
 
-def spans(text: str | None) -> list[tuple[int, int, int]]:
+def spans(text: str | None, ranks: dict[str, int] = _RANK) -> list[tuple[int, int, int]]:
     """(start, kind as a position in KINDS, end), ordered."""
     if not text:
         return []
@@ -100,7 +150,7 @@ def spans(text: str | None) -> list[tuple[int, int, int]]:
         a, b = m.span(1 if m[1] is not None else 2)
         while b > a and text[b - 1] in ".!?)]":
             b -= 1
-        if b - a >= 6 and not any(s < b and a < e for s, _, e in base) and guess_cost(text[a:b]) >= math.log10(MIN_GUESSES) and not text[a:b].isalpha():
+        if b - a >= 6 and not any(s < b and a < e for s, _, e in base) and guess_cost(text[a:b], ranks) >= math.log10(MIN_GUESSES):
             found.append((a, 3, b))
     return sorted(found)
 
@@ -124,11 +174,14 @@ def scan(docs: DataFrame) -> DataFrame:
     added = "n_assign long, n_access long, n_hex long, n_guess long, base_sha256 string, spans string, redacted string"
     keep = [c for c in docs.columns if c != "text" and f" {c} " not in f" {added}".replace(",", "")]  # same names are replaced
 
+    shared = docs.sparkSession.sparkContext.broadcast("\n".join(ranked_words(docs)))
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ranks = _ranks(shared)
         for pdf in batches:
             rows = []
             for text in pdf["text"]:
-                found = spans(text)
+                found = spans(text, ranks)
                 base = [f for f in found if f[1] < 3]
                 n = [sum(f[1] == k for f in found) for k in range(4)]
                 rows.append((*n, hashlib.sha256(joined(base).encode()).hexdigest(), joined(found), redact(text, found)))
