@@ -5,8 +5,13 @@ id and role words, links, length, place in an article) into a cost for either la
 the source or the sink; blocks next to each other and blocks of one container are tied by smoothness edges.
 The maximum flow separates content from boilerplate at the least total cost.
 
+Marks of page furniture (tags, class and id words, roles, hidden parts) count by what they hold: an element with
+nearly all article-like text of the page is a wrapper and no furniture, one with few times the text that is left
+without it costs less, any other one its full cost.
+
 Null and empty pages give an empty text. Text may be of any length; nothing is dropped but markup and the
-blocks on the sink's side. Unclosed and stray tags are tolerated; an unfinished tag at the end is dropped.
+blocks on the sink's side. Unclosed and stray tags are tolerated: skipped elements without an end tag end at the
+next block tag. An unfinished tag at the end is dropped.
 Repeated rows give repeated results; extra columns pass through.
 """
 
@@ -24,7 +29,7 @@ from .base import small_batches
 
 # fixed values: tag roles of HTML and words that name page furniture
 BLOCKS = set("html body main article section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tr td th blockquote pre figure figcaption hr nav header footer aside form fieldset menu address details summary dialog".split())
-RAW = set("script style head noscript template svg iframe textarea select option button object canvas title".split())
+RAW = set("script style noscript template svg iframe textarea select option button object canvas title".split())
 FURNITURE = set("nav footer aside form fieldset menu dialog".split())
 BODY = set("article main".split())
 WORDS = set(
@@ -33,27 +38,80 @@ WORDS = set(
 )
 ROLES = set("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split())
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>"']|"[^"]*"|'[^']*')*)>|<[!?][^>]*>|<[a-zA-Z/][^<>]*\Z|[^<]+|<""", re.DOTALL)
-_ATTR = re.compile(r"""\b(class|id|role|style|hidden|aria-hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.IGNORECASE)
+_ATTR = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?|"[^"]*"|'[^']*'""")
 _WORD = re.compile(r"[a-z]+")
+_STATE = re.compile(r"(?:^|[^a-z])(?:has|with|without|no|not)(?:[^a-z].*|$)")  # 'content-with-sidebar' has one beside it
+_SITE = set("site global top main nav navbar masthead")
+_NEXT_BLOCK = re.compile(rf"</?(?:{'|'.join(sorted(BLOCKS, key=len, reverse=True))})(?![a-zA-Z0-9:-])", re.IGNORECASE)
+_END = {t: re.compile(rf"</{t}\s*>", re.IGNORECASE) for t in RAW}
+# no start tag of these stands inside another one; an option ends where its list does or the next one starts
+_FLAT = {t: re.compile(rf"<{t}(?![a-zA-Z0-9:-])", re.IGNORECASE) for t in ("select", "button")}
+_OPTION = re.compile(r"</option\s*>|(?=</?(?:option|optgroup|select|datalist)(?![a-zA-Z0-9:-]))", re.IGNORECASE)
+FULL, PROSE = 9.0, 80
+WRAPPER = 0.9  # of the article-like text, what is left without the mark counting four times
 NEXT, SAME = 0.4, 0.8  # smoothness of neighbours, and more if they share a container
 
 
-def _furniture(tag: str, attrs: str, in_body: bool) -> bool:
+def _names_furniture(value: str) -> bool:
+    for token in value.split():
+        words = _WORD.findall(_STATE.sub("", token))
+        found = WORDS.intersection(words)
+        if found - {"header"} or found and (len(words) == 1 or _SITE.intersection(words)):
+            return True
+    return False
+
+
+def _furniture(tag: str, attrs: str, in_body: bool) -> str:
+    """How an element is marked as furniture: by `kind`, or loosely by a `name` (form tags, class or id); else empty."""
     if tag in FURNITURE or (tag == "header" and not in_body):
-        return True
+        return "name" if tag in ("form", "fieldset") else "kind"
+    kind, seen = "", set()
     for name, *values in _ATTR.findall(attrs) if attrs else ():
         name, value = name.lower(), "".join(values).lower()
-        if name in ("class", "id") and WORDS.intersection(_WORD.findall(value)) and tag not in ("body", "html", "article", "main"):
-            return True
+        if name in seen:  # the first of equal names counts
+            continue
+        seen.add(name)
+        if name in ("class", "id") and tag not in ("body", "html", "article", "main") and _names_furniture(value):
+            kind = kind or "name"
         if name == "role" and value in ROLES or name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
-            return True
-    return False
+            kind = "kind"
+    return kind
+
+
+def _costs(held: list[tuple[int, float]], outer: list[int]) -> list[float]:
+    """The share of FULL that each block bears; `held`: (innermost mark or -1, article-like text) of the blocks."""
+    void: set[int] = set()
+
+    def active(k: int) -> int:
+        while k in void:
+            k = outer[k]
+        return k
+
+    while True:
+        inside: dict[int, float] = {-1: 0.0}
+        for k, size in held:
+            k = active(k)
+            inside[k] = inside.get(k, 0.0) + size
+        free = inside.pop(-1)
+        top = max(inside, key=lambda k: (inside[k], -k), default=-1)
+        if top < 0 or not inside[top] or inside[top] < WRAPPER * (inside[top] + 4 * free):
+            break
+        void.add(top)
+    cost = {-1: 0.0}
+    for k in range(len(outer)):  # outer marks come first
+        share = inside[k] / (inside[k] + 4 * free) if inside.get(k) else 0.0
+        cost[k] = max(0.0 if k in void else min(1.0, 2 * (1 - share)), cost[outer[k]])
+    return [cost[k] for k, _ in held]
 
 
 def blocks(page: str) -> list[tuple[str, float, int]]:
     """(text, score, container) of each block: positive scores speak for content."""
     found: list[tuple[str, float, int]] = []
-    stack: list[tuple[str, bool, bool, int]] = [("", False, False, 0)]  # tag, furniture, in body, container
+    stack: list[tuple[str, int, bool, int]] = [("", -1, False, 0)]  # tag, mark, in body, container
+    outer: list[int] = []  # of each mark, the mark around it
+    loose: list[bool] = []
+    held: list[tuple[int, float]] = []
+    endless: set[str] = set()  # tags without an end tag from here on
     parts: list[str] = []
     linked = link = serial = 0
     pos, n = 0, len(page)
@@ -62,12 +120,14 @@ def blocks(page: str) -> list[tuple[str, float, int]]:
         nonlocal linked, link
         text = " ".join(html.unescape("".join(parts)).split())
         if text:
-            tag, furniture, body, container = stack[-1]
+            tag, mark, body, container = stack[-1]
             score = 3.0 if body else -0.5
             score += min(2.0, len(text) / 100) + (0.5 if tag in ("p", "h1", "h2", "h3", "blockquote", "pre") else 0.0)
             if linked * 2 > len(text):
                 score -= 1.0 if body else 3.0
-            found.append((text, -9.0 if furniture else score, container))
+            found.append((text, score, container))
+            prose = body or len(text) >= PROSE or mark < 0 or loose[mark] and tag in ("p", "h1", "h2", "h3", "blockquote", "pre")
+            held.append((mark, float(max(0, len(text) - linked)) if prose and linked * 2 <= len(text) else 0.0))
         parts.clear()
         linked = link = 0
 
@@ -82,13 +142,17 @@ def blocks(page: str) -> list[tuple[str, float, int]]:
         tag = tag.lower()
         if tag in RAW:
             if not m[1] and not m[3].rstrip().endswith("/"):
-                end = re.compile(rf"</{tag}\s*>" + ("|<body" if tag == "head" else ""), re.IGNORECASE).search(page, pos)
-                if end and page[end.start() + 1] == "/":
-                    pos = end.end()
-                elif end:
-                    pos = end.start()
+                end = _OPTION.search(page, pos) if tag == "option" else None if tag in endless else _END[tag].search(page, pos)
+                if end is None:
+                    endless.add(tag)
+                block = _NEXT_BLOCK.search(page, pos) if end is None else _NEXT_BLOCK.search(page, pos, end.start()) if tag == "option" else None
+                again = _FLAT[tag].search(page, pos, end.start()) if end and tag in _FLAT else None
+                if again:  # the end tag belongs to a later element
+                    block = _NEXT_BLOCK.search(page, pos, again.start()) or again
+                if block and (end is None or block.start() < end.start()):
+                    pos = block.start()
                 else:
-                    pos = n
+                    pos = end.end() if end else n
             parts.append(" ")
         elif tag == "br":
             parts.append(" ")
@@ -103,13 +167,17 @@ def blocks(page: str) -> list[tuple[str, float, int]]:
                 if stack[-1][0] in ("p", "li", "dt", "dd") and tag in ("p", stack[-1][0], "div", "ul", "ol", "h1", "h2", "h3", "article", "footer", "section") and not (stack[-1][0] != "p" and tag in ("p", "div", "ul", "ol")):
                     stack.pop()
                 serial += 1
-                _, furniture, body, _ = stack[-1]
+                _, mark, body, _ = stack[-1]
                 inside = body or tag in BODY
                 # a paragraph or item belongs to the container around it
                 group = stack[-1][3] if tag in ("p", "li", "h1", "h2", "h3", "h4", "h5", "h6", "dt", "dd", "tr", "td") else serial
-                stack.append((tag, furniture or _furniture(tag, m[3], body), inside, group))
+                if kind := _furniture(tag, m[3], body):
+                    outer.append(mark)
+                    loose.append(kind == "name")
+                    mark = len(outer) - 1
+                stack.append((tag, mark, inside, group))
     flush()
-    return found
+    return [(text, score - cost * (score + FULL), group) for (text, score, group), cost in zip(found, _costs(held, outer))]
 
 
 def least_cut(scores: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
