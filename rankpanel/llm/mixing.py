@@ -6,11 +6,14 @@ gives whole epochs, and the rest of its target from a weighted order of its docu
 with u from a hash of the id and w the document's quality weight; small keys first, until the words run out. The document
 at the border is taken if that comes nearer to the target.
 
-No source is sorted as a whole: keys fall into slices, words are summed per slice before anything moves, and
-only documents of the slice that holds the border are ordered. All other documents compare slice numbers.
-
-Null texts have size 0; null sources are one source, the last. Ties of keys are ordered by id, then size.
-Repeated rows count as documents of their own. A null id hashes like an empty one. Reruns give the same rows.
+No source is sorted as a whole: narrow rows (no texts) are range-partitioned by source and order, words are summed
+per source and range, and only documents of the range that holds a source's border are ordered. Ranges are cut at
+sampled quantiles of the whole order, so they are even whatever the weights and repeats. All other documents
+compare with the last one taken.
+
+Null texts have size 0; null sources are one source, the last. Ties of keys are ordered by id, size, a hash of the
+kept columns and a number of the row, so repeated rows are documents of their own, also at the border, where
+any of several equal rows may go. A null id hashes like an empty one. Reruns give the same rows.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ from pyspark.sql import functions as F
 from .base import WORD, settle
 
 ADDED = ("size", "source_size", "target", "taken")  # a column of these names is replaced
-SLICE = 1000  # documents of one slice, on average
+ORDER = ("key", "doc_id", "size", "hash", "nr")
 
 
 def n_words(text: Column) -> Column:
@@ -64,32 +67,34 @@ def mix(docs: DataFrame, cap: int = 3, cycle: int = 3, keep: Sequence[str] | Non
     keep = list(docs.columns if keep is None else keep)
     sized = docs.drop("size").withColumn("size", n_words(F.col("text")))
     keyed = sized.withColumn("key", -F.log(uniform(F.col("doc_id"))) / symbol_weight(F.col("text"), F.col("size")))
-    keyed = settle(keyed.select(F.struct(*[c for c in keep if c not in ADDED], "size").alias("row"), "doc_id", "source", "size", "key"), "sized")
-    light = keyed.select("doc_id", "source", "size", "key")
-    per_source = light.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
+    columns = [*[c for c in keep if c not in ADDED], "size"]
+    keyed = keyed.select(F.struct(*columns).alias("row"), "doc_id", "source", "size", "key", F.xxhash64(*columns).alias("hash"), F.monotonically_increasing_id().alias("nr"))
+    keyed = settle(keyed, "sized")
+    light = keyed.select("source", *ORDER)
+    per_source = light.groupBy("source").agg(F.sum("size").alias("source_size"))
     src = targets(per_source, cap, cycle).withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0))
-    src = src.withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size")).withColumn("slices", F.ceil(F.col("n") / SLICE))
+    src = src.withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size"))
     src = settle(src, "targets")  # one row per source: small ones are broadcast by the optimizer's own size check
-    slice_ = F.floor((F.lit(1.0) - F.exp(-F.col("key"))) * F.col("slices"))
+    place = F.struct(*ORDER)
 
-    def with_source(df: DataFrame, facts: DataFrame) -> DataFrame:
-        return df.join(facts.withColumnRenamed("source", "__s"), F.col("source").eqNullSafe(F.col("__s"))).drop("__s")
+    def with_source(df: DataFrame, facts: DataFrame, how: str = "inner") -> DataFrame:
+        return df.join(facts.withColumnRenamed("source", "__s"), F.col("source").eqNullSafe(F.col("__s")), how).drop("__s")
 
-    sliced = with_source(light, src.select("source", "slices")).withColumn("slice", slice_)
-    sums = sliced.groupBy("source", "slice").agg(F.sum("size").alias("words"))
-    before = W.partitionBy("source").orderBy("slice").rowsBetween(W.unboundedPreceding, -1)
-    sums = sums.withColumn("before", F.coalesce(F.sum("words").over(before), F.lit(0)))
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    laid = settle(light.repartitionByRange(parts, "source", *ORDER).withColumn("part", F.spark_partition_id()), "ordered")
+    sums = laid.groupBy("source", "part").agg(F.sum("size").alias("words"), F.max(place).alias("top"))
+    before = W.partitionBy("source").orderBy("part")  # one row per source and range
+    sums = sums.withColumn("before", F.coalesce(F.sum("words").over(before.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).withColumn("earlier", F.lag("top").over(before))
     border = with_source(sums, src.select("source", "rest")).where((F.col("before") <= F.col("rest")) & (F.col("rest") < F.col("before") + F.col("words")))
-    edge = src.join(border.select(F.col("source").alias("b"), F.col("slice").alias("at"), "before"), F.col("source").eqNullSafe(F.col("b")), "left").drop("b")
-    edge = settle(edge, "borders")
-    at = F.col("at")
-    near = with_source(light, edge).withColumn("slice", slice_).where(F.col("slice") == at).select("source", "slice", "doc_id", "size", "key", "before", "rest")
-    order = W.partitionBy("source").orderBy("key", "doc_id", "size")
+    border = settle(border.select("source", "part", "before", "earlier", "rest"), "borders")
+    near = laid.join(border.select(F.col("source").alias("b"), F.col("part").alias("at"), "before", "rest"), F.col("source").eqNullSafe(F.col("b")) & (F.col("part") == F.col("at")))
+    order = W.partitionBy("source").orderBy(*ORDER)
     near = near.withColumn("upto", F.col("before") + F.coalesce(F.sum("size").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    # the last document that still brings the sum nearer, as a (key, id, size) to compare with
-    last = near.where(F.col("upto") + F.col("size") / 2 <= F.col("rest")).groupBy("source").agg(F.max(F.struct("key", "doc_id", "size")).alias("last")).withColumnRenamed("source", "l")
-    edge = settle(edge.join(last, F.col("source").eqNullSafe(F.col("l")), "left").drop("l"), "borders")
-    out = with_source(keyed, edge).withColumn("slice", slice_)
-    chosen = F.when(at.isNull(), F.col("rest") > 0).otherwise((F.col("slice") < at) | (F.col("slice") == at) & F.coalesce(F.struct("key", "doc_id", "size") <= F.col("last"), F.lit(False)))
+    # the last document that still brings the sum nearer, as a struct to compare with
+    last = near.where(F.col("upto") + F.col("size") / 2 <= F.col("rest")).groupBy("source").agg(F.max(place).alias("in_range"))
+    last = with_source(border.select("source", "earlier"), last, "left")
+    edge = with_source(src, last.select("source", F.coalesce("in_range", "earlier").alias("last"), F.lit(True).alias("cut")), "left")
+    out = with_source(keyed, settle(edge, "edges"))
+    chosen = F.when(F.col("cut").isNull(), F.col("rest") > 0).otherwise(F.coalesce(place <= F.col("last"), F.lit(False)))
     taken = F.col("size") * (F.col("epochs") + F.when(chosen, 1).otherwise(0))
     return out.select("row.*", "source_size", "target", taken.cast("long").alias("taken"))
