@@ -5,6 +5,7 @@ single blank that stands between two visible characters, and a line feed between
 is a token of its own. Texts are therefore cut at those places, each distinct chunk is encoded once by
 the library and remembered as bytes, and a document's ids are the joined bytes. The ids are those of
 encoding the whole text (tested); natural text repeats its words, so most chunks come from the memo.
+The operators leave the library's default for special tokens: their strings in a text get their own ids.
 """
 
 from __future__ import annotations
@@ -36,14 +37,17 @@ def chunks(text: str) -> list[str]:
 
 
 class TextEncoder:
-    """Encodes texts to little-endian unsigned 32-bit ids; `vocabulary` is the tokenizer file's JSON."""
+    """Encodes texts to little-endian unsigned 32-bit ids; `vocabulary` is the tokenizer file's JSON.
 
-    def __init__(self, vocabulary: str):
+    `special_as_text`: special tokens' strings in a text are ordinary text, against the library's default.
+    """
+
+    def __init__(self, vocabulary: str, special_as_text: bool = True):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark owns the cores
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_str(vocabulary)
-        self._tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self._tokenizer.encode_special_tokens = special_as_text
         self._tokenizer.no_padding()
         self._tokenizer.no_truncation()
         self.largest_id = max(self._tokenizer.get_vocab().values(), default=0)
@@ -95,5 +99,5 @@ def encoder(vocabulary: Broadcast) -> TextEncoder:
     key = hash(text)
     if key not in _ENCODERS:
         _ENCODERS.clear()
-        _ENCODERS[key] = TextEncoder(text)
+        _ENCODERS[key] = TextEncoder(text, special_as_text=False)
     return _ENCODERS[key]
