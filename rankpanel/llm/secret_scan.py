@@ -10,8 +10,7 @@ after a few fixed ones. A word needs MIN_DOCS documents, and the most frequent o
 beyond the list costs what its letters cost, so a missing word can mask too much, but never leaves a secret.
 
 Offsets are code points, ends exclusive. Null texts count as empty and have no spans. Values overlapping a base
-span add nothing. The cost of a value is computed whole if it has up to LONGEST characters; a longer one is cut
-into pieces of that size whose costs add up, so its cost grows with its length. Extra columns pass through.
+span add nothing. The cost of a value is computed whole, however long it is. Extra columns pass through.
 """
 
 from __future__ import annotations
@@ -39,7 +38,6 @@ _CONTEXT = re.compile(
     re.IGNORECASE | re.ASCII,
 )
 MIN_GUESSES = 1e8
-LONGEST = 64
 MIN_DOCS, LISTED = 3, 200_000
 HELD = 200_000  # distinct words that a task counts before it hands them on
 # fixed values: everyday words by rank, keyboard rows
@@ -102,41 +100,78 @@ def _ranks(shared: Broadcast) -> dict[str, int]:
     return _LISTS[key]
 
 
-def _piece_cost(value: str, ranks: dict[str, int]) -> float:
-    """log10 of the guesses of the cheapest segmentation: dynamic programming over end positions."""
+class _Starts:
+    """Starts of a run that goes on (repeats of `width`, or a walk), each with a cost that grows with the log of its units.
+
+    A start that the run itself reaches as cheaply and goes on from is never better than the earlier one, and a later start that an earlier
+    one has overtaken stays behind; so only the few starts that something else made cheap are kept.
+    """
+
+    def __init__(self, width: int):
+        self.width, self.live = width, []
+
+    def at(self, j: int) -> list[float]:
+        """Costs at `j` of the starts that are left, without those that an earlier one has overtaken."""
+        costs, live = [], []
+        for i, base in self.live:
+            cost = base + math.log10((j - i) // self.width)
+            if not costs or cost < min(costs):
+                costs.append(cost)
+                live.append((i, base))
+        self.live = live
+        return costs
+
+    def broken(self, since: int) -> None:
+        """Starts before `since` end here."""
+        if self.live:
+            self.live = [x for x in self.live if x[0] >= since]
+
+
+def guess_cost(value: str, ranks: dict[str, int] = _RANK, enough: float = math.inf) -> float:
+    """log10 of the guesses of the cheapest segmentation, or a bound of at least `enough` below it: dynamic programming over end positions."""
     low, n = value.lower(), len(value)
+    if len(low) != n:  # a letter whose small form is longer
+        low = "".join(x if len(x := c.lower()) == 1 else c for c in value)
     plain = low.translate(_LEET)
+    log = [math.log10(_space(c)) for c in value]
     best = [0.0] + [math.inf] * n
-
-    def offer(i: int, j: int, guesses: float) -> None:
-        best[j] = min(best[j], best[i] + math.log10(guesses))
-
-    for i in range(n):
-        for j in range(i + 1, min(n, i + _WORD_LENGTH) + 1):
-            if (rank := ranks.get(plain[i:j])) is not None:
-                offer(i, j, rank * (1 if value[i:j] == plain[i:j] else 4))
-        for m in [_DATE.match(value, i)]:
-            if m:
-                offer(i, m.end(), 200.0 if m.end() - i == 4 else 200.0 * 365 * 4)
-        for width in (1, 2, 3, 4):  # a repeated unit of up to four characters
-            unit, j = value[i : i + width], i + width
-            while len(unit) == width and value[j : j + width] == unit:
-                j += width
-                offer(i, j, math.prod(_space(c) for c in unit) * ((j - i) // width))
-        j = i + 1
-        while j < n and (low[j - 1], low[j]) in _STEPS:
-            j += 1
-            if j - i >= 3:
-                offer(i, j, 50.0 * (j - i))
-        offer(i, i + 1, _space(value[i]) * (1.0 if value[i].islower() or not value[i].isalpha() else 2.0))
+    repeats = {w: [_Starts(w) for _ in range(w)] for w in (1, 2, 3, 4)}  # a repeated unit of up to four characters
+    walk = _Starts(1)
+    for j in range(n + 1):
+        if j:
+            cost = min(best[j], best[j - 1] + log[j - 1] + (0.0 if value[j - 1].islower() or not value[j - 1].isalpha() else math.log10(2)))
+            for i in range(max(0, j - _WORD_LENGTH), j):
+                if (rank := ranks.get(plain[i:j])) is not None:
+                    cost = min(cost, best[i] + math.log10(rank * (1 if value[i:j] == plain[i:j] else 4)))
+            for w, starts in repeats.items():
+                if j > w and value[j - 1] != value[j - 1 - w]:
+                    for x in starts:
+                        x.broken(j - w)
+                x = starts[j % w]
+                if x.live:
+                    cost = min([cost, *(c for c, (i, _) in zip(x.at(j), x.live) if j - i >= 2 * w)])
+            if j > 1 and (low[j - 2], low[j - 1]) not in _STEPS:
+                walk.broken(j - 1)
+            if walk.live:
+                cost = min([cost, *(c for c, (i, _) in zip(walk.at(j), walk.live) if j - i >= 3)])
+            best[j] = cost
+        if j == n:
+            break
+        if m := _DATE.match(value, j):
+            best[m.end()] = min(best[m.end()], best[j] + math.log10(200.0 if m.end() - j == 4 else 200.0 * 365 * 4))
+        for w, starts in repeats.items():
+            if j + w <= n and (value[j : j + w] != value[j - w : j] or all(best[j] < c for c in starts[j % w].at(j))):
+                starts[j % w].live.append((j, best[j] + sum(log[j : j + w])))
+        if not j or (low[j - 1], low[j]) not in _STEPS or all(best[j] < c for c in walk.at(j)):
+            walk.live.append((j, best[j] + math.log10(50.0)))
+        if j % 8 == 0 and best[j] >= enough:
+            # all that follows starts at one of these
+            least = min([*best[max(0, j - _WORD_LENGTH) : j + 1], *(b for x in [walk, *sum(repeats.values(), [])] for _, b in x.live)])
+            if least >= enough:
+                return least
     return best[n]
 
 
-def guess_cost(value: str, ranks: dict[str, int] = _RANK) -> float:
-    """log10 of the guesses that `value` costs."""
-    return sum(_piece_cost(value[i : i + LONGEST], ranks) for i in range(0, len(value), LONGEST))
-
-
 def spans(text: str | None, ranks: dict[str, int] = _RANK) -> list[tuple[int, int, int]]:
     """(start, kind as a position in KINDS, end), ordered."""
     if not text:
@@ -150,7 +185,7 @@ def spans(text: str | None, ranks: dict[str, int] = _RANK) -> list[tuple[int, in
         a, b = m.span(1 if m[1] is not None else 2)
         while b > a and text[b - 1] in ".!?)]":
             b -= 1
-        if b - a >= 6 and not any(s < b and a < e for s, _, e in base) and guess_cost(text[a:b], ranks) >= math.log10(MIN_GUESSES):
+        if b - a >= 6 and not any(s < b and a < e for s, _, e in base) and guess_cost(text[a:b], ranks, math.log10(MIN_GUESSES)) >= math.log10(MIN_GUESSES):
             found.append((a, 3, b))
     return sorted(found)
 

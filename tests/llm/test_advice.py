@@ -112,3 +112,31 @@ def test_ids_are_those_of_an_unchanged_tokenizer(spark):
     assert [r.start for r in got] == list(itertools.accumulate([0] + [len(ids(x)) for _, x in rows]))[:-1]
     packed = packing.pack(packing.token_pieces(docs, share_vocabulary(spark, PATH), 64, keep_ids=True), 64).collect()
     assert {r.doc_id: np.frombuffer(bytes(r.ids), "<u4").tolist() for r in packed} == {i: ids(x) for i, x in rows} and 50256 in ids(rows[0][1])
+
+
+def test_guess_cost_of_long_values():
+    cost = secret_scan.guess_cost
+    assert cost("-" * 192) < 4 and secret_scan.spans("pwd: " + "-" * 192) == [] and cost("ab" * 5000) < 8
+    assert cost("qwertyuiop" + "-" * 300) < 8 < cost("Xk9#vQ2!mZ7p" * 8)
+    assert 8 <= cost("Xk9#vQ2!mZ7p" * 8, enough=8.0) <= cost("Xk9#vQ2!mZ7p" * 8)
+
+    def slow(value):  # all edges, no bounds
+        low, n, log = value.lower(), len(value), np.log10
+        plain, best = low.translate(secret_scan._LEET), [0.0] + [np.inf] * len(value)
+        for i in range(n):
+            edges = [(i + 1, secret_scan._space(value[i]) * (1 if value[i].islower() or not value[i].isalpha() else 2))]
+            edges += [(j, secret_scan._RANK[plain[i:j]] * (1 if value[i:j] == plain[i:j] else 4)) for j in range(i + 1, n + 1) if plain[i:j] in secret_scan._RANK]
+            if m := secret_scan._DATE.match(value, i):
+                edges.append((m.end(), 200 if m.end() - i == 4 else 200 * 365 * 4))
+            for w in (1, 2, 3, 4):
+                unit = value[i : i + w]
+                edges += [(i + k * w, np.prod([secret_scan._space(c) for c in unit]) * k) for k in range(2, n + 1) if i + k * w <= n and value[i : i + k * w] == unit * k]
+            edges += [(j, 50 * (j - i)) for j in range(i + 3, n + 1) if all((low[x], low[x + 1]) in secret_scan._STEPS for x in range(i, j - 1))]
+            for j, guesses in edges:
+                best[j] = min(best[j], best[i] + log(float(guesses)))
+        return best[n]
+
+    rnd = np.random.default_rng(6)
+    for _ in range(400):
+        value = "".join(rnd.choice(["a", "b", "ab", "-", "qwe", "1", "12", "19", "2020", "0", "pass", "Key", "é", "aaaa", "X9"], rnd.integers(1, 30)))
+        assert abs(cost(value) - slow(value)) < 1e-9, value
