@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ledger
+from . import ledger, spelling
 from .base import table
 
 QUERIES: dict = {}
@@ -102,3 +102,13 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .language_id import identify
 
     return identify(table(spark, sf_dir, "pages").select("page_id", "url", "html"), table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .spelling import variants
+
+    return variants(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+ORACLE["op13_spelling_variants"] = spelling.ORACLE
