@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ledger, spelling
+from . import ledger, periods, spelling
 from .base import table
 
 QUERIES: dict = {}
@@ -112,3 +112,13 @@ def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE["op13_spelling_variants"] = spelling.ORACLE
+
+
+@query
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .periods import periodic_runs
+
+    return periodic_runs(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+ORACLE["op12_periodic_runs"] = periods.ORACLE
