@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ledger, periods, spelling
+from . import ledger, periods, spelling, suffix_dedup
 from .base import table
 
 QUERIES: dict = {}
@@ -122,3 +122,13 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE["op12_periodic_runs"] = periods.ORACLE
+
+
+@query
+def op11_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix_dedup import dedup
+
+    return dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+ORACLE["op11_suffix_array_dedup"] = suffix_dedup.ORACLE
