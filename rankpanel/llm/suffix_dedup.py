@@ -346,10 +346,10 @@ def ordered(keys: DataFrame, by: list[str], sums: list[str]) -> DataFrame:
 
 
 def suffix_ranks(strings: DataFrame, levels: int) -> DataFrame:
-    """(sid, pos, rank) of every suffix of the strings (sid, pos, c): rank - 1 suffixes are smaller. Names c start at 1.
+    """(sid, pos, rank) of every suffix of the strings (sid, pos, c): the number of smaller ones and 1. Names c start at 1.
 
-    A string's places are sid, sid + 1, ... Equal suffixes share a rank, and so do those
-    that 3 ** levels names do not tell apart.
+    A string's places are sid, sid + 1, ... Equal suffixes share a rank. Those that 3 ** levels names (four levels
+    at most) do not tell apart stay together, in any order.
     """
     return _ranks(strings, levels, 0)
 
