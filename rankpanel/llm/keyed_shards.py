@@ -116,7 +116,7 @@ def write_shards(docs: DataFrame, vocabulary: Broadcast, root: str, end_id: int
                 store.create_dir(folder, recursive=True)
                 out = store.open_output_stream(f"{folder}/{name}.ids")
             keys += b.column(0).to_pylist()
-            for ids in enc.encode(b.column(1).to_pylist(), end_id):
+            for ids in enc.encode(b.column(1), end_id):
                 out.write(np.frombuffer(ids, "<u4").astype("<u2").tobytes() if narrow else ids)
                 sizes.append(len(ids) // 4)
         if out is None:

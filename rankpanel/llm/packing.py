@@ -42,7 +42,7 @@ def token_pieces(docs: DataFrame, vocabulary: Broadcast, size: int, end_id: int
         enc = encoder(vocabulary)
         for b in batches:
             cols: list[list] = [[] for _ in range(6)]
-            for doc, ids in zip(b.column(0).to_pylist(), enc.encode(b.column(1).to_pylist(), end_id)):
+            for doc, ids in zip(b.column(0).to_pylist(), enc.encode(b.column(1), end_id)):
                 for k, (start, length) in enumerate(cut(len(ids) // 4, size)):
                     raw = ids[4 * start : 4 * (start + length)]
                     for c, v in zip(cols, (doc, k, start, length, zlib.crc32(raw), raw)):

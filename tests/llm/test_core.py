@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from tokenizers import Tokenizer
 
-from rankpanel.llm import mixing, packing, secret_scan, simhash, subword_classifier
+from rankpanel.llm import mixing, packing, secret_scan, simhash, subword_classifier, token_ids
 from rankpanel.llm.token_ids import TextEncoder, share_vocabulary
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -29,19 +29,27 @@ def docs(spark):
 
 def test_ids_equal_whole_text_encoding():
     t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
     rnd = np.random.default_rng(1)
     letters = list("ab 1  \n\n\t.'s,é日\x85 \x1c!İΩ\r\0") + ["<|endoftext|>", " the", "\nThe "]
     texts = ["".join(rnd.choice(letters, rnd.integers(1, 25))) for _ in range(4000)]
     with open(PATH) as f:
         enc = TextEncoder(f.read())
-    for x, got in zip(texts, enc.encode(texts)):
-        assert np.frombuffer(got, "<u4").tolist() == t.encode(x, add_special_tokens=False).ids + [2], x
+    words = ["the", "A's", "it's,", "(x)", "'s", "naïve", "don't", "12.5", "...", "<|endoftext|>", "a<|endoftext|>b", "_", "ÀÉ", "''"]
+    texts += [" ".join(rnd.choice(words, rnd.integers(1, 9))).replace(" . ", "\n") for _ in range(500)]  # the column form
+    texts += ["\n".join(rnd.choice(words, rnd.integers(1, 9))) for _ in range(500)]
+    for memo in (300_000, 10):  # with a memo that forgets all the time
+        token_ids.MEMO_CHUNKS = memo
+        for x, got in zip(texts, enc.encode(texts[:3000]), strict=False):
+            assert np.frombuffer(got, "<u4").tolist() == t.encode(x, add_special_tokens=False).ids + [2], x
+        for lo in range(3000, len(texts), 50):
+            for x, got in zip(texts[lo : lo + 50], enc.encode(texts[lo : lo + 50]), strict=True):
+                assert np.frombuffer(got, "<u4").tolist() == t.encode(x, add_special_tokens=False).ids + [2], x
+    token_ids.MEMO_CHUNKS = 300_000
+    assert list(enc.encode([None, ""], 7)) == [b"\7\0\0\0"] * 2 and list(enc.encode([])) == []
 
 
 def test_packing_round_trip(spark, docs):
     t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
     got = packing.pack(packing.token_pieces(docs, share_vocabulary(spark, PATH), 64, keep_ids=True), 64)
     rows = got.collect()
     bins = collections.defaultdict(list)

@@ -75,7 +75,6 @@ def test_merkle_locates_an_edit(spark):
 
 def test_shards_round_trip(spark, docs):  # noqa: F811
     t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
     root = scratch_path(spark, "shards")
     manifest = keyed_shards.write_shards(docs, share_vocabulary(spark, PATH), root)
     got = sorted(keyed_shards.read_all(spark, root, manifest).collect(), key=lambda r: r.start)
