@@ -30,6 +30,19 @@ def small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+CARRIED = "__carried"
+
+
+def carried(docs: DataFrame, *own: str) -> DataFrame:
+    """`docs` with the columns `own` as they are and all others inside one, out of the way of what an operator adds."""
+    return docs.select(*own, F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias(CARRIED))
+
+
+def restored(df: DataFrame, docs: DataFrame, *changed: str) -> DataFrame:
+    """Rows of `df` with the columns of `docs` as `carried` put them away; those in `changed` come from `df` itself."""
+    return df.select(*[F.col(f"`{c}`") if c in ("text", *changed) else F.col(f"{CARRIED}.`{c}`").alias(c) for c in docs.columns])
+
+
 def settle(df: DataFrame, name: str) -> DataFrame:
     """Write once to the shared folder and read back: short plans, fixed row placement, nothing to recompute."""
     path = scratch_path(df.sparkSession, name)

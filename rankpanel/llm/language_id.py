@@ -25,7 +25,7 @@ from .base import settle
 BUCKETS = 1 << 15
 EVIDENCE = 60.0  # overlapping trigrams depend on one another: a text counts as this many independent ones at most
 SMOOTH, TABLE_SMOOTH = 5.0, 0.5
-_MARKUP = re.compile(r"<(script|style|head)\b.*?(?:</\1\s*>|\Z)|<!--.*?(?:-->|\Z)|<[^>]*>|&#?\w+;?", re.DOTALL | re.IGNORECASE)
+_MARKUP = re.compile(r"<(script|style)\b.*?(?:</\1\s*>|\Z)|<title\b[^>]*>[^<]*|<!--.*?(?:-->|\Z)|<[^>]*>|&#?\w+;?", re.DOTALL | re.IGNORECASE)
 
 
 def trigrams(text: str) -> np.ndarray:
@@ -101,7 +101,7 @@ def identify(pages: DataFrame, docs: DataFrame) -> DataFrame:
     total = sum(overall)
     prior = F.array(*[F.lit((x + 1.0) / (total + n)) for x in overall])
     for by in ("host", "domain", "declared", "suffix"):
-        d = d.join(sums(by), by)
+        d = d.join(settle(sums(by), f"sums_{by}"), by)  # settled: a key with many pages can be split in the join
 
     def toward(counts: str, base: Column) -> Column:
         """Own page left out, pulled to `base` by SMOOTH pages."""

@@ -65,10 +65,10 @@ def mix(docs: DataFrame, cap: int = 3, cycle: int = 3, keep: Sequence[str] | Non
     Texts are read once: the kept columns are settled with sizes and keys, and later passes read narrow columns.
     """
     keep = list(docs.columns if keep is None else keep)
-    sized = docs.drop("size").withColumn("size", n_words(F.col("text")))
-    keyed = sized.withColumn("key", -F.log(uniform(F.col("doc_id"))) / symbol_weight(F.col("text"), F.col("size")))
-    columns = [*[c for c in keep if c not in ADDED], "size"]
-    keyed = keyed.select(F.struct(*columns).alias("row"), "doc_id", "source", "size", "key", F.xxhash64(*columns).alias("hash"), F.monotonically_increasing_id().alias("nr"))
+    columns = [F.col(f"`{c}`") for c in keep if c not in ADDED]  # put away first: names of the mix's own columns may be among them
+    sized = docs.select(F.struct(*columns, n_words(F.col("text")).alias("size")).alias("row"), "doc_id", "source", F.col("text").alias("words"), F.xxhash64(*columns).alias("hash"))
+    sized = sized.withColumn("size", F.col("row.size"))
+    keyed = sized.select("row", "doc_id", "source", "size", (-F.log(uniform(F.col("doc_id"))) / symbol_weight(F.col("words"), F.col("size"))).alias("key"), "hash", F.monotonically_increasing_id().alias("nr"))
     keyed = settle(keyed, "sized")
     light = keyed.select("source", *ORDER)
     per_source = light.groupBy("source").agg(F.sum("size").alias("source_size"))

@@ -22,19 +22,24 @@ from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .base import settle, small_batches
+from .base import CARRIED, carried, restored, settle, small_batches
 
 KINDS = ("assign", "access", "hex", "guess")
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")  # runs are maximal either way: the same as matching all and dropping the short
 _HEX = re.compile(r"[0-9a-f]{24,}")
+# after a name (short ones stand alone, longer ones may end one), or in a URL; a quoted value goes to its quote, a bare one
+# may hold commas and semicolons, but none that ends it
 _CONTEXT = re.compile(
-    r"""(?:(?<![a-z0-9])(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|credentials?|(?:api|access|private|auth|secret)[_-]?key|client[_-]?secret)\b["']?\s{0,8}(?:[:=]|\bis\b)\s{0,8}|(?<![a-z0-9])Bearer\s{1,8})["']?([^\s"'<>,;]{6,})"""
-    r"""|[a-z][a-z0-9+]{1,20}://[^\s/:@]{1,200}:([^\s/@]{6,})@""",
+    r"""(?:(?:pass(?:word|wd|phrase|code)|(?<![a-z0-9])(?:pass|pwd)|secret|token|credentials?|(?:api|access|private|auth|secret)[_-]?key)\b["']?\s*(?:[:=]|\bis\b)\s*|(?<![a-z0-9])Bearer\s+)"""
+    r"""(?:"([^"\n]+)"|'([^'\n]+)'|["']?((?:[^\s"'<>,;]|[,;](?![\s"']|\Z|[a-z_][\w.-]*[:=]))+))"""
+    r"""|(?<=[a-z0-9+])://[^\s/:@]+:([^\s/@]+)@""",
     re.IGNORECASE | re.ASCII,
 )
 MIN_GUESSES = 1e8
@@ -182,7 +187,7 @@ def spans(text: str | None, ranks: dict[str, int] = _RANK) -> list[tuple[int, in
     found += [(m.start(), 2, m.end()) for m in _HEX.finditer(text)]
     base = sorted(found)
     for m in _CONTEXT.finditer(text):
-        a, b = m.span(1 if m[1] is not None else 2)
+        a, b = m.span(m.lastindex)
         while b > a and text[b - 1] in ".!?)]":
             b -= 1
         if b - a >= 6 and not any(s < b and a < e for s, _, e in base) and guess_cost(text[a:b], ranks, math.log10(MIN_GUESSES)) >= math.log10(MIN_GUESSES):
@@ -207,28 +212,34 @@ def redact(text: str | None, found: list[tuple[int, int, int]]) -> str | None:
 def scan(docs: DataFrame) -> DataFrame:
     """Every column of `docs` but the text, with counts, digests, spans and the redacted text."""
     added = "n_assign long, n_access long, n_hex long, n_guess long, base_sha256 string, spans string, redacted string"
-    keep = [c for c in docs.columns if c != "text" and f" {c} " not in f" {added}".replace(",", "")]  # same names are replaced
+    names = [c.split()[0] for c in added.split(", ")]
+    keep = [c for c in docs.columns if c != "text" and c not in names]  # same names are replaced
 
     shared = docs.sparkSession.sparkContext.broadcast("\n".join(ranked_words(docs)))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    at, through = docs.columns.index("text"), [docs.columns.index(c) for c in keep]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks = _ranks(shared)
-        for pdf in batches:
+        for batch in batches:
             rows = []
-            for text in pdf["text"]:
+            for text in batch.column(at).to_pylist():
                 found = spans(text, ranks)
                 base = [f for f in found if f[1] < 3]
                 n = [sum(f[1] == k for f in found) for k in range(4)]
                 rows.append((*n, hashlib.sha256(joined(base).encode()).hexdigest(), joined(found), redact(text, found)))
-            yield pd.concat([pdf[keep].reset_index(drop=True), pd.DataFrame(rows, columns=[c.split()[0] for c in added.split(", ")])], axis=1)
+            cols = list(zip(*rows)) or [()] * len(names)
+            new = [pa.array(c, pa.int64() if k < 4 else pa.string()) for k, c in enumerate(cols)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in through), *new], names=[*keep, *names])
 
-    types = dict(docs.dtypes)
-    return small_batches(docs).mapInPandas(run, ", ".join([*(f"`{c}` {types[c]}" for c in keep), added]))
+    schema = StructType([*(docs.schema.fields[k] for k in through), *StructType.fromDDL(added).fields])
+    return small_batches(docs).mapInArrow(run, schema)
 
 
 def without_secrets(docs: DataFrame) -> DataFrame:
     """`docs` with secrets masked in the text and, where there is one, `n_chars` brought up to date."""
-    found = scan(docs).withColumn("text", F.col("redacted"))
-    if "n_chars" in docs.columns:
-        found = found.withColumn("n_chars", F.when(F.col("spans") != "", F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return found.select(*docs.columns)
+    found = scan(carried(docs, "text")).withColumn("text", F.col("redacted"))
+    if "n_chars" not in docs.columns:
+        return restored(found, docs)
+    n = F.when(F.col("spans") != "", F.length("text")).otherwise(F.col(f"{CARRIED}.n_chars")).cast(docs.schema["n_chars"].dataType)
+    return restored(found.withColumn("n_chars", n), docs, "n_chars")
