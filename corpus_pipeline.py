@@ -3,7 +3,8 @@
 quality classifier -> SimHash near-dedup -> secret scans -> mixing to target weights -> best-fit packing.
 All stages but the last return the columns of `documents`; the last returns the packed pieces. Mixing
 repeats a document as often as the mix takes it, so later rows may share a doc_id; packing treats every row
-as a document of its own.
+as a document of its own. Columns that the input has beside those of `documents` go through unchanged, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankpanel.llm.base import settle, table
+from rankpanel.llm.base import CARRIED, carried, restored, settle, table
 from rankpanel.llm.mixing import mix
 from rankpanel.llm.packing import pack, token_pieces
 from rankpanel.llm.queries import SEQUENCE, TOKENIZER
@@ -23,7 +24,8 @@ from rankpanel.llm.token_ids import share_vocabulary
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier scores at THRESHOLD or more; trained on the labels of `sf_dir`."""
-    return score(docs, fit(docs, table(spark, sf_dir, "labels"))).where(F.col("score") >= THRESHOLD).select(*docs.columns)
+    scored = score(carried(docs, "text"), fit(docs, table(spark, sf_dir, "labels")))
+    return restored(scored.where(F.col("score") >= THRESHOLD), docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,8 +40,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     if repeats.isEmpty():
         return docs.join(kept, same, "left_semi")
     once = docs.join(kept.where("__n = 1"), same, "left_semi")
-    row = F.min(F.struct(*[c for c in docs.columns if c != "text"], "text")).alias("row")
-    twice = docs.join(repeats, same).groupBy("__id", "__key").agg(row).select(*[F.col(f"row.{c}").alias(c) for c in docs.columns])
+    row = F.min(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"], "text")).alias("row")
+    twice = docs.join(repeats, same).groupBy("__id", "__key").agg(row).select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
     return once.unionByName(twice)
 
 
@@ -50,9 +52,9 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it; documents without words have no share and stay once."""
-    mixed = mix(docs)
+    mixed = mix(carried(docs, "doc_id", "source", "text"), keep=["text", CARRIED])
     copies = F.when(F.col("size") > 0, (F.col("taken") / F.col("size")).cast("int")).otherwise(1)
-    return mixed.where(copies > 0).withColumn("__copy", F.explode(F.sequence(F.lit(1), copies))).select(*docs.columns)
+    return restored(mixed.where(copies > 0).withColumn("__copy", F.explode(F.sequence(F.lit(1), copies))), docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
