@@ -1,9 +1,10 @@
 """Document fingerprints as Merkle trees, in DataFrame operations only.
 
-A text's leaves are runs of up to three words; leaves hash into paragraphs (lines), paragraphs into sections, which
-end after a paragraph whose digest ends in one of four digits (so an insertion moves no later border), and
-sections into the root. The fingerprint lists root, sections, paragraphs and short leaf digests. Equal roots mean
-equal texts; likeness is the share of leaf digests in common; `changed` descends differing sections only.
+A text's leaves are runs of words that end after a word whose digest is a multiple of LEAF_WORDS; leaves hash into
+paragraphs (lines), paragraphs into sections, which end after a paragraph whose digest ends in one of four digits, and
+sections into the root. All these ends depend on what stands there, so an insertion moves no later border, however long the
+line. The fingerprint lists root, sections, paragraphs and leaf digests. Equal roots mean equal texts; likeness is the share
+of leaf digests in common; `changed` descends differing sections only.
 
 Null texts count as empty: one paragraph without leaves. Two texts without leaves are alike (1.0). Rows that
 repeat both id and text share one place in the id order and one result each; repeated ids are ordered by a
@@ -18,8 +19,8 @@ from pyspark.sql import functions as F
 
 from .base import settle
 
-LEAF = r"(?:\S+\s*){1,3}|\s+"
-LEAF_BITS = (1 << 24) - 1
+TOKEN = r"\S+\s*|\s+"
+LEAF_WORDS = 4  # on average
 FIRST = -(1 << 63)
 
 
@@ -30,13 +31,16 @@ def _digest(x: Column) -> Column:
 def with_tree(df: DataFrame, text: str, out: str) -> DataFrame:
     """Adds `<out>` (the fingerprint) and `<out>_leaves` (its leaf digests as numbers)."""
     rest = df.columns
-    hashed = F.transform(F.split(text, "\n"), lambda p: F.transform(F.regexp_extract_all(p, F.lit(LEAF), F.lit(0)), lambda x: F.xxhash64(x)))
+    marked = lambda w: F.concat(F.hex(w), F.when(F.pmod(w, F.lit(LEAF_WORDS)) == 0, F.lit(",")).otherwise(F.lit("-")))
+    words = lambda p: F.transform(F.regexp_extract_all(p, F.lit(TOKEN), F.lit(0)), lambda x: marked(F.xxhash64(x)))
+    leaves_of = lambda p: F.filter(F.split(F.array_join(words(p), ""), ","), lambda x: x != "")
+    hashed = F.transform(F.split(text, "\n"), lambda p: F.transform(leaves_of(p), lambda x: F.xxhash64(x)))
     d = df.select(*rest, hashed.alias("__h"))
     tree = F.array_join(F.transform("__h", lambda leaves: _digest(F.xxhash64(leaves, F.size(leaves)))), ",")
-    d = d.select(*rest, F.regexp_replace(tree, "([0-3]),", "$1;").alias("__p"), F.transform(F.flatten("__h"), lambda x: x.bitwiseAND(LEAF_BITS).cast("int")).alias(f"{out}_leaves"))
+    d = d.select(*rest, F.regexp_replace(tree, "([0-3]),", "$1;").alias("__p"), F.flatten("__h").alias(f"{out}_leaves"))
     sections = F.array_join(F.transform(F.split("__p", ";"), lambda s: _digest(F.xxhash64(s))), ",")
     d = d.select(*rest, f"{out}_leaves", "__p", sections.alias("__s"))
-    leaves = F.array_join(F.transform(f"{out}_leaves", lambda x: F.lpad(F.lower(F.hex(x)), 6, "0")), "")
+    leaves = F.array_join(F.transform(f"{out}_leaves", _digest), "")
     root = F.substring(F.sha2(F.concat_ws("|", "__s", "__p"), 256), 1, 32)
     return d.select(*rest, f"{out}_leaves", F.concat_ws("|", root, "__s", "__p", leaves).alias(out))
 
@@ -72,7 +76,7 @@ def successors(keys: DataFrame) -> DataFrame:
 
 
 def compare(docs: DataFrame) -> DataFrame:
-    """Every document against its own edited text and against the next document."""
+    """Every document against its own edited text and against the next document; `changed`: digests of edited paragraphs it has not."""
     base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(FIRST)).alias("id"), F.coalesce("text", F.lit("")).alias("text"))
     base = base.withColumn("h", F.xxhash64("text"))
     order = settle(successors(base.select("id", "h", F.length("text").alias("n")).distinct()), "successors")
@@ -91,4 +95,5 @@ def compare(docs: DataFrame) -> DataFrame:
     return d.select(
         "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint",
         likeness("fingerprint", "edited_fingerprint").alias("near_edited"), likeness("fingerprint", "next").alias("near_next"),
+        changed(F.col("edited_fingerprint"), F.col("fingerprint")).alias("changed"),
     )

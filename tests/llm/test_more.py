@@ -176,3 +176,14 @@ def test_pipeline_stages(spark, sf):
     assert clean.columns == d.columns and clean.count() == len(got)
     mixed = corpus_pipeline.mixing(spark, clean, sf)
     assert mixed.columns == d.columns and mixed.count() > 0
+
+
+def test_leaves_follow_what_stands_there(spark):
+    """A word put in front of one long line leaves nearly all its leaves alone; equal fingerprints mean equal texts."""
+    rnd = np.random.default_rng(4)
+    line = " ".join("".join(rnd.choice(list("abcdefgh"), 5)) for _ in range(600))
+    rows = [(1, line), (2, "new " + line), (3, line.replace(" ", "  ", 1)), (4, line + "\n"), (5, line + "\n" + line[:40]), (6, "word " * 20_000), (7, "word " * 19_999)]
+    got = {r.doc_id: r for r in merkle.compare(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1].near_next > 0.95 and got[2].near_next > 0.95
+    assert len({r.fingerprint for r in got.values()}) == len(rows)
+    assert got[1].changed and all(len(d) == 16 for d in got[1].changed)
