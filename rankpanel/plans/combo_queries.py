@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.student import t_upper
+from ..operators import enumeration as EN
 from ..operators import mining as M
 from ..operators import portfolio as PF
 from ..operators import search as SR
@@ -12,10 +13,10 @@ from ..operators import selection as S
 from ..operators import walkforward as WF
 from ..operators.factors import CATALOG, with_stage_columns
 from ..oracle.base import PANEL
-from ..oracle.research import LONG, t_two_sided as sql_t
+from ..oracle.research import LONG, ic_cte, t_two_sided as sql_t
 from ..sources.panel import panel
 from ..sources.stages import stage
-from .mining_queries import BK_SQL, BUCKETS, bucket_table
+from .mining_queries import _ASG, _SURV, ALG, BK_SQL, BUCKETS, bucket_table, survivor_names
 from .portfolio_queries import costs
 from .registry import query, rounded
 from .research import std_long
@@ -64,6 +65,52 @@ def c02(spark, sf):
     return d.select("combo", "size", "n_buckets")
 
 
+def _grow(src: str, most: int, per_bucket: int = 0, per_parent: int = 0) -> str:
+    """Combinations as lists, grown one larger name at a time."""
+    cond = f" AND len(list_filter(bks, lambda x: x = n.bucket)) < {per_bucket}" if per_bucket else ""
+    if per_parent:
+        cond += f" AND len(list_filter(ps, lambda x: x = n.parents[1])) < {per_parent} AND (len(n.parents) = 1 OR len(list_filter(ps, lambda x: x = n.parents[2])) < {per_parent})"
+    return f"""grow AS (SELECT [name] AS names, [bucket] AS bks, parents AS ps, 1 AS size FROM {src} UNION ALL
+   SELECT list_append(names, n.name), list_append(bks, n.bucket), list_concat(ps, n.parents), size + 1 FROM grow JOIN {src} n ON n.name > names[-1] WHERE size < {most}{cond})"""
+
+
+SIZES = tuple(range(2, 8))
+_B17 = f"{BK_SQL}, n17 AS (SELECT factor AS name, bucket, [factor] AS parents FROM bk WHERE bucket NOT IN ('FUND_FLOW', 'LEVERAGE') AND (SELECT max(bar) + 1 FROM cal) > CAST(coalesce(nullif(regexp_extract(factor, '(\\d+)', 1), ''), '1') AS INT))"
+
+
+@query("c_01_enumerate_combos_sizes", f"WITH RECURSIVE {PANEL}, {_B17}, {_grow('n17', 7)} SELECT array_to_string(names, ' + ') AS combo, size FROM grow WHERE size >= 2")
+def c01s(spark, sf):
+    """All sizes from 2 to 7 over the traded factors, by number."""
+    return EN.combinations(traded_buckets(spark, sf), SIZES).select("combo", "size")
+
+
+@query("c_02_bucketed_combos_sizes", f"WITH RECURSIVE {PANEL}, {_B17}, {_grow('n17', 7, 2)} SELECT array_to_string(names, ' + ') AS combo, size, len(list_distinct(bks)) AS n_buckets FROM grow WHERE size >= 2 AND len(list_distinct(bks)) >= least(3, size)")
+def c02s(spark, sf):
+    return EN.combinations(traded_buckets(spark, sf), SIZES, 3, 2).select("combo", "size", "n_buckets")
+
+
+def survivor_buckets(spark, sf):
+    """Survivors of the mining gates with the buckets that m_07 gives them."""
+    return stage(spark, sf, "survivor_buckets", lambda: M.assign_buckets(survivor_names(spark, sf), bucket_table(spark)).select(F.col("name").alias("factor"), "bucket"))
+
+
+_SV = f"""{ALG}, {ic_cte('ic', 'zl', 'fwd1')}, {_SURV}, {_ASG},
+ sv AS MATERIALIZED (SELECT DISTINCT name, bucket, CASE WHEN len(string_split(name, '__')) = 3 THEN list_distinct([split_part(name, '__', 1), split_part(name, '__', 3)]) ELSE [name] END AS parents FROM asg WHERE bucket IS NOT NULL)"""
+
+
+@query("c_02_survivor_combos", f"WITH RECURSIVE {_SV}, {_grow('sv', 3, 2, 2)} SELECT array_to_string(names, ' + ') AS combo, size, len(list_distinct(bks)) AS n_buckets FROM grow WHERE size = 3 AND len(list_distinct(bks)) >= 3")
+def c02v(spark, sf):
+    """Mined factors and plain ones together: bucket and parent limits."""
+    return EN.combinations(survivor_buckets(spark, sf), [3], 3, 2, 2).select("combo", "size", "n_buckets")
+
+
+@query("c_02_survivor_combo_counts", f"WITH RECURSIVE {_SV}, {_grow('sv', 5, 2, 2)} SELECT size, len(list_distinct(bks)) AS n_buckets, count(*) AS combos, min(array_to_string(names, ' + ')) AS first_combo, max(array_to_string(names, ' + ')) AS last_combo FROM grow WHERE size >= 3 AND len(list_distinct(bks)) >= 3 GROUP BY ALL")
+def c02n(spark, sf):
+    """How many there are of each size up to 5, with the first and the last of each."""
+    d = EN.combinations(survivor_buckets(spark, sf), [3, 4, 5], 3, 2, 2)
+    return d.groupBy("size", "n_buckets").agg(F.count(F.lit(1)).alias("combos"), F.min("combo").alias("first_combo"), F.max("combo").alias("last_combo"))
+
+
 def n_bars(spark, sf):
     return panel(spark, sf).agg(F.max("bar")).first()[0] + 1
 
