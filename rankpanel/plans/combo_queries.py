@@ -12,7 +12,9 @@ from ..operators import search as SR
 from ..operators import selection as S
 from ..operators import walkforward as WF
 from ..operators.factors import CATALOG, with_stage_columns
+from ..operators.holding import grid_selection
 from ..oracle.base import PANEL
+from ..oracle.holding import hysteresis
 from ..oracle.research import LONG, ic_cte, t_two_sided as sql_t
 from ..sources.panel import panel
 from ..sources.stages import stage
@@ -208,8 +210,8 @@ def c07(spark, sf):
 TOP, DELTA, MIN_DAYS = 2, 0.10, 9
 
 
-def oos_periods(spark, sf, delta=DELTA, min_days=MIN_DAYS):
-    """Out-of-sample period returns at each window's best frequency, positions warmed up in sample."""
+def warm_candidates(spark, sf):
+    """Ranked scores of every decision from the start of each window, at the window's best frequency."""
 
     def build():
         dec = WF.decision_table(windows(spark, sf), FREQS, with_is=True)
@@ -217,32 +219,68 @@ def oos_periods(spark, sf, delta=DELTA, min_days=MIN_DAYS):
         rows = dec.join(b.select("win", "freq").distinct(), ["win", "freq"])
         sig = WF.combo_signals(weights(spark, sf), zlong(spark, sf), rows).join(b, ["combo", "win"])
         sig = sig.join(dec.select("win", "freq", "period", "sig_bar"), ["win", "freq", "sig_bar"]).withColumnRenamed("signal", "score")
-        cand = S.ranked_candidates(sig, ["combo", "win", "period"])
-        hold = S.stateful_selection(cand, ["combo", "win", "freq"], TOP, None, delta, min_days)
-        r = WF.period_bars(dec).join(returns_panel(spark, sf).select("symbol", "bar", "r"), "bar")
-        r = r.select("win", "freq", "period", "symbol", "bar", "r", F.lit(1.0).alias("exposure"), F.lit(1.0).alias("start_exposure"))
-        p = PF.period_returns(hold, r, costs(spark, sf), ["combo", "win", "freq"], TOP, ["win", "freq"])
-        return p.join(dec.where("oos").select("win", "freq", "period"), ["win", "freq", "period"], "left_semi")
+        return S.ranked_candidates(sig, ["combo", "win", "period"])
+
+    return stage(spark, sf, "warm_candidates", build)
 
-    return stage(spark, sf, f"oos_periods:{delta}:{min_days}", build)
+
+def grid_periods(spark, sf, cand, points, keys=("combo", "win", "freq")):
+    """Out-of-sample period returns of every strategy at every (delta, min_days), positions warmed up in sample."""
+    dec = WF.decision_table(windows(spark, sf), FREQS, with_is=True)
+    r = WF.period_bars(dec).join(returns_panel(spark, sf).select("symbol", "bar", "r"), "bar")
+    r = r.select("win", "freq", "period", "symbol", "bar", "r", F.lit(1.0).alias("exposure"), F.lit(1.0).alias("start_exposure"))
+    hold = grid_selection(cand, keys, points, TOP)
+    p = PF.period_returns(hold, r, costs(spark, sf), [*keys, "delta_rank", "min_days"], TOP, ["win", "freq"])
+    return p.join(dec.where("oos").select("win", "freq", "period"), ["win", "freq", "period"], "left_semi")
+
+
+def oos_periods(spark, sf, delta=DELTA, min_days=MIN_DAYS):
+    """Out-of-sample period returns at each window's best frequency, positions warmed up in sample."""
+    return stage(spark, sf, f"oos_periods:{delta}:{min_days}", lambda: grid_periods(spark, sf, warm_candidates(spark, sf), [(delta, min_days)]).drop("delta_rank", "min_days"))
 
 
 def oos_perf(spark, sf):
     return stage(spark, sf, "oos_perf", lambda: PF.equity_stats(oos_periods(spark, sf), ["combo", "win", "freq"], 252.0 / F.col("freq")))
 
 
-@query("c_08_out_of_sample_returns")
-def c08(spark, sf):
-    return rounded(oos_perf(spark, sf))
+_DEC2 = f"d2 AS MATERIALIZED (SELECT win, freq, CAST(p AS INT) AS period, is_start + p * freq - 1 AS sig_bar, is_start + p * freq AS start_bar, least(is_start + (p + 1) * freq, oos_end) AS end_bar, is_start + p * freq >= oos_start AS oos FROM wn, fq, range(1, 100) g(p) WHERE p * freq < {IS_LEN + OOS_LEN} AND least((p + 1) * freq, {IS_LEN + OOS_LEN}) - p * freq >= 2)"
+_Q2 = f"{_DEC2}, q2 AS MATERIALIZED (SELECT wt.combo, wt.win, d2.freq, d2.period, d2.start_bar, d2.end_bar, d2.oos, zl.symbol, round(sum(weight * sgn * value) / sum(weight), 12) AS signal FROM wt JOIN zl ON wt.factor = zl.factor JOIN bs ON bs.combo = wt.combo AND bs.win = wt.win JOIN d2 ON d2.win = wt.win AND d2.freq = bs.freq AND d2.sig_bar = zl.bar GROUP BY ALL)"
 
 
-_DEC2 = f"d2 AS MATERIALIZED (SELECT win, freq, CAST(p AS INT) AS period, is_start + p * freq - 1 AS sig_bar, is_start + p * freq AS start_bar, least(is_start + (p + 1) * freq, oos_end) AS end_bar, is_start + p * freq >= oos_start AS oos FROM wn, fq, range(1, 100) g(p) WHERE p * freq < {IS_LEN + OOS_LEN} AND least((p + 1) * freq, {IS_LEN + OOS_LEN}) - p * freq >= 2)"
-_PLAIN = f"""{_DEC2}, q2 AS (SELECT wt.combo, wt.win, d2.freq, d2.period, d2.start_bar, d2.end_bar, d2.oos, zl.symbol, round(sum(weight * sgn * value) / sum(weight), 12) AS signal FROM wt JOIN zl ON wt.factor = zl.factor JOIN bs ON bs.combo = wt.combo AND bs.win = wt.win JOIN d2 ON d2.win = wt.win AND d2.freq = bs.freq AND d2.sig_bar = zl.bar GROUP BY ALL),
- h2 AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY combo, win, period ORDER BY signal DESC, symbol) AS pos FROM q2) WHERE pos <= {TOP}),
- b2 AS (SELECT combo, win, freq, period, s.bar, avg(s.r) AS m FROM h2 JOIN s ON s.symbol = h2.symbol AND s.bar >= start_bar AND s.bar < end_bar WHERE oos GROUP BY ALL), g2 AS (SELECT combo, win, freq, period, exp(sum(ln(1 + m))) - 1 AS gross FROM b2 GROUP BY ALL),
- t2 AS (SELECT combo, win, freq, period, symbol FROM (SELECT combo, win, freq, period, symbol, 1 AS d FROM h2 UNION ALL SELECT a.combo, a.win, a.freq, b.period, a.symbol, -1 FROM h2 a JOIN (SELECT DISTINCT combo, win, period FROM h2) b ON a.combo = b.combo AND a.win = b.win AND b.period = a.period + 1) GROUP BY ALL HAVING sum(d) <> 0),
- k2 AS (SELECT combo, win, freq, period, sum(CASE WHEN CAST(regexp_extract(symbol, '(\\d+)$', 1) AS INT) % 5 = 4 THEN 0.005 ELSE 0.002 END) / {TOP} AS c FROM t2 GROUP BY ALL),
- n2 AS MATERIALIZED (SELECT g2.*, gross - coalesce(c, 0) AS net FROM g2 LEFT JOIN k2 ON g2.combo = k2.combo AND g2.win = k2.win AND g2.period = k2.period)"""
+def _net(hold: str, keys: str = "combo, win, freq") -> str:
+    """Net period returns `n2` of the holdings `hold` (keys, period, symbol, start_bar, end_bar, oos)."""
+    of = lambda a: ", ".join(f"{a}.{c}" for c in keys.split(", "))
+    on = lambda a, b: " AND ".join(f"{a}.{c} = {b}.{c}" for c in keys.split(", "))
+    return f"""b2 AS (SELECT {keys}, period, s.bar, avg(s.r) AS m FROM {hold} h JOIN s ON s.symbol = h.symbol AND s.bar >= start_bar AND s.bar < end_bar WHERE oos GROUP BY ALL), g2 AS (SELECT {keys}, period, coalesce(exp(sum(ln(1 + m))) - 1, 0) AS gross FROM b2 GROUP BY ALL),
+ p2 AS (SELECT *, lag(period) OVER (PARTITION BY {keys} ORDER BY period) AS prev FROM (SELECT DISTINCT {keys}, period FROM {hold})),
+ t2 AS (SELECT {keys}, period, symbol FROM (SELECT {keys}, period, symbol, 1 AS d FROM {hold} UNION ALL SELECT {of('a')}, b.period, a.symbol, -1 FROM {hold} a JOIN p2 b ON {on('a', 'b')} AND b.prev = a.period) GROUP BY ALL HAVING sum(d) <> 0),
+ k2 AS (SELECT {keys}, period, sum(CASE WHEN CAST(regexp_extract(symbol, '(\\d+)$', 1) AS INT) % 5 = 4 THEN 0.005 ELSE 0.002 END) / {TOP} AS c FROM t2 GROUP BY ALL),
+ n2 AS MATERIALIZED (SELECT g2.*, gross - coalesce(c, 0) AS net FROM g2 LEFT JOIN k2 ON {on('g2', 'k2')} AND g2.period = k2.period)"""
+
+
+_PLAIN = f"{_Q2}, h2 AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY combo, win, period ORDER BY signal DESC, symbol) AS pos FROM q2) WHERE pos <= {TOP}), {_net('h2')}"
+_SRC2 = "q3 AS (SELECT combo, win, freq, period, symbol, signal AS score FROM q2)"
+
+
+def _warm(points, keys="combo, win, freq") -> str:
+    """Holdings under hysteresis with their bars, and their net returns."""
+    return f"{_Q2}, {_SRC2}, {hysteresis('q3', 'combo, win, freq', TOP, 'd.freq', points)}, h3 AS MATERIALIZED (SELECT hy.*, start_bar, end_bar, oos FROM hy JOIN d2 ON d2.win = hy.win AND d2.freq = hy.freq AND d2.period = hy.period), {_net('h3', keys)}"
+
+
+def _stats(keys: str = "combo, win, freq") -> str:
+    return f"""e2 AS (SELECT *, exp(sum(ln(1 + net)) OVER w) AS eq FROM n2 WINDOW w AS (PARTITION BY {keys} ORDER BY period)),
+ f2 AS (SELECT *, 1 - eq / greatest(1, max(eq) OVER (PARTITION BY {keys} ORDER BY period)) AS dd FROM e2),
+ st2 AS MATERIALIZED (SELECT {keys}, count(*) AS periods, exp(sum(ln(1 + net))) - 1 AS total_return, greatest(max(dd), 0) AS max_drawdown, CASE WHEN count(*) >= 2 AND stddev_pop(net) > 1e-12 THEN avg(net) / stddev_pop(net) * sqrt(252.0 / freq) ELSE 0 END AS sharpe FROM f2 GROUP BY {keys})"""
+
+
+_OOS = f"{_warm([(DELTA, MIN_DAYS)])}, {_stats()}"
+_R3 = "round(ln(1 + total_return), 6) AS log_return, round(max_drawdown, 6) AS max_drawdown, round(sharpe, 6) AS sharpe"
+
+
+@query("c_08_out_of_sample_returns", f"WITH RECURSIVE {WFO}, {_OOS} SELECT combo, win, freq, periods, {_R3} FROM st2")
+def c08(spark, sf):
+    """Growth as a logarithm: long compounding leaves no digits after the point to compare."""
+    return rounded(oos_perf(spark, sf).withColumn("log_return", F.log1p("total_return")).drop("total_return"))
 
 
 @query("c_08_out_of_sample_returns_plain", f"WITH {WFO}, {_PLAIN} SELECT combo, win, freq, count(*) AS periods, round(sum(ln(1 + net)), 6) AS log_growth, round(CASE WHEN count(*) >= 2 AND stddev_pop(net) > 1e-12 THEN avg(net) / stddev_pop(net) * sqrt(252.0 / freq) ELSE 0 END, 6) AS sharpe FROM n2 GROUP BY combo, win, freq")
@@ -273,10 +311,13 @@ def c10(spark, sf):
     return rounded(collapsed(spark, sf).select("combo", "windows", "mean_oos_ic", "oos_ic_std", "mean_oos_ir", "mean_positive_rate", "best_freq"))
 
 
-@query("c_10_combo_performance")
+_PERF = "cp AS MATERIALIZED (SELECT st2.combo, avg(total_return) AS mean_oos_return, exp(sum(ln(1 + total_return))) - 1 AS cum_oos_return, avg(sharpe) AS mean_oos_sharpe, avg(max_drawdown) AS mean_oos_maxdd FROM st2 GROUP BY st2.combo)"
+
+
+@query("c_10_combo_performance", f"WITH RECURSIVE {WFO}, {_OOS}, {_PERF} SELECT combo, round(ln(1 + mean_oos_return), 6) AS log_mean_return, round(ln(1 + cum_oos_return), 6) AS log_cum_return, round(mean_oos_sharpe, 6) AS mean_oos_sharpe, round(mean_oos_maxdd, 6) AS mean_oos_maxdd FROM cp")
 def c10p(spark, sf):
     d = WF.collapse(best(spark, sf), oos_perf(spark, sf).drop("freq"))
-    return rounded(d.select("combo", "mean_oos_return", "cum_oos_return", "mean_oos_sharpe", "mean_oos_maxdd"))
+    return rounded(d.select("combo", F.log1p("mean_oos_return").alias("log_mean_return"), F.log1p("cum_oos_return").alias("log_cum_return"), "mean_oos_sharpe", "mean_oos_maxdd"))
 
 
 @query("c_11_stability_score", f"WITH {WFO}, {_COL} SELECT combo, size, round(stability_score, 6) AS stability_score FROM cl")
@@ -313,9 +354,10 @@ def c13(spark, sf):
     return rounded(d.select("combo", "execution_score"))
 
 
-@query("c_13_execution_score_returns")
+@query("c_13_execution_score_returns", f"WITH RECURSIVE {WFO}, {_OOS}, {_PERF}, ce AS (SELECT combo, round(ln(1 + mean_oos_return), 8) AS x, round(mean_oos_sharpe, 8) AS y, round(mean_oos_maxdd, 8) AS z FROM cp) SELECT combo, round(0.4 * {_RU('x')} + 0.3 * {_RU('y')} + 0.3 * ({_RU('z', False)}), 6) AS execution_score FROM ce")
 def c13r(spark, sf):
     d = WF.collapse(best(spark, sf), oos_perf(spark, sf).drop("freq"))
+    d = d.select("combo", F.round(F.log1p("mean_oos_return"), 8).alias("mean_oos_return"), *[F.round(c, 8).alias(c) for c in ("mean_oos_sharpe", "mean_oos_maxdd")])
     d = SR.rank_scores(d, [("mean_oos_return", 0.4, True), ("mean_oos_sharpe", 0.3, True), ("mean_oos_maxdd", 0.3, False)], "execution_score")
     return rounded(d.select("combo", "execution_score"))
 
@@ -417,23 +459,34 @@ def c21(spark, sf):
     return SR.grades(d.select("combo", F.round("score_rank", 8).alias("score_rank")), "score_rank")
 
 
-@query("c_22_parameter_grid")
+DELTAS, HOLDS = (0.0, 0.05, 0.10, 0.20), (0, 6, 9, 18)
+GRID = [(d, m) for d in DELTAS for m in HOLDS]
+_MED = "count(*) AS n, round(median(total_return), 6) AS median_return, round(median(sharpe), 6) AS median_sharpe, round(median(max_drawdown), 6) AS median_drawdown"
+
+
+def _medians(st, *by):
+    return rounded(st.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.median("total_return").alias("median_return"), F.median("sharpe").alias("median_sharpe"), F.median("max_drawdown").alias("median_drawdown")))
+
+
+@query("c_22_parameter_grid", f"WITH RECURSIVE {WFO}, {_warm(GRID, 'combo, win, freq, dl, md')}, {_stats('combo, win, freq, dl, md')} SELECT dl AS delta_rank, md AS min_days, {_MED} FROM st2 GROUP BY ALL")
 def c22(spark, sf):
-    """Hysteresis gap x minimum hold over all combinations and windows; medians per grid point."""
-    dec = WF.decision_table(windows(spark, sf), FREQS, with_is=True)
-    b = best(spark, sf).select("combo", "win", "freq")
-    sig = WF.combo_signals(weights(spark, sf), zlong(spark, sf), dec).join(b, ["combo", "win"])
-    sig = sig.join(dec.select("win", "freq", "period", "sig_bar"), ["win", "freq", "sig_bar"]).withColumnRenamed("signal", "score")
-    cand = stage(spark, sf, "grid_candidates", lambda: S.ranked_candidates(sig, ["combo", "win", "period"]))
-    r = WF.period_bars(dec).join(returns_panel(spark, sf).select("symbol", "bar", "r"), "bar")
-    r = r.select("win", "freq", "period", "symbol", "bar", "r", F.lit(1.0).alias("exposure"), F.lit(1.0).alias("start_exposure"))
-    r = stage(spark, sf, "grid_returns", lambda: r)
-    hold = None
-    for delta, days_ in ((0.0, 0), (0.10, 9), (0.20, 9), (0.10, 18)):
-        h = S.stateful_selection(cand, ["combo", "win", "freq"], TOP, None, delta, days_)
-        h = h.withColumn("delta_rank", F.lit(delta)).withColumn("min_days", F.lit(days_))
-        hold = h if hold is None else hold.unionByName(h)
-    keys = ["combo", "win", "freq", "delta_rank", "min_days"]
-    p = PF.period_returns(hold, r, costs(spark, sf), keys, TOP, ["win", "freq"]).join(dec.where("oos").select("win", "freq", "period"), ["win", "freq", "period"], "left_semi")
-    st = PF.equity_stats(p, keys, 252.0 / F.col("freq"))
-    return rounded(st.groupBy("delta_rank", "min_days").agg(F.count(F.lit(1)).alias("n"), F.median("total_return").alias("median_return"), F.median("sharpe").alias("median_sharpe"), F.median("max_drawdown").alias("median_drawdown")))
+    """Hysteresis gap x minimum hold over all combinations and windows, folded together; medians per grid point."""
+    p = grid_periods(spark, sf, warm_candidates(spark, sf), GRID)
+    return _medians(PF.equity_stats(p, ["combo", "win", "freq", "delta_rank", "min_days"], 252.0 / F.col("freq")), "delta_rank", "min_days")
+
+
+_Q2F = _Q2.replace(" JOIN bs ON bs.combo = wt.combo AND bs.win = wt.win", "").replace(" AND d2.freq = bs.freq", "")
+_F3 = [(0.0, 0), (DELTA, MIN_DAYS)]
+
+
+@query("c_22_parameter_grid_frequency", f"WITH RECURSIVE {WFO}, {_warm(_F3, 'combo, win, freq, dl, md').replace(_Q2, _Q2F)}, {_stats('combo, win, freq, dl, md')} SELECT freq, dl AS delta_rank, md AS min_days, {_MED} FROM st2 GROUP BY freq, dl, md")
+def c22f(spark, sf):
+    """Frequency x hysteresis: every combination and window at every frequency, not only at its best one."""
+
+    def build():
+        dec = WF.decision_table(windows(spark, sf), FREQS, with_is=True)
+        sig = WF.combo_signals(weights(spark, sf), zlong(spark, sf), dec).join(dec.select("win", "freq", "period", "sig_bar"), ["win", "sig_bar"])
+        return S.ranked_candidates(sig.withColumnRenamed("signal", "score"), ["combo", "win", "freq", "period"])
+
+    p = grid_periods(spark, sf, stage(spark, sf, "grid_candidates", build), _F3)
+    return _medians(PF.equity_stats(p, ["combo", "win", "freq", "delta_rank", "min_days"], 252.0 / F.col("freq")), "freq", "delta_rank", "min_days")

@@ -10,8 +10,10 @@ from ..operators import portfolio as PF
 from ..operators import selection as S
 from ..operators.cross_section import composite
 from ..operators.factors import with_stage_columns
+from ..operators.holding import grid_selection
 from ..oracle.base import PANEL
 from ..oracle.factors import STAGED
+from ..oracle.holding import hysteresis
 from ..oracle.research import LONG, avg_rank as rk
 from ..sources.panel import panel
 from ..sources.stages import stage
@@ -152,7 +154,7 @@ def p02(spark, sf):
 def _scores(spark, sf):
     """Composite scores of three combinations on the score row of every rebalance (the bar before it)."""
     s = composite(std_long(spark, sf), combo_table(spark))
-    s = s.withColumn("score", F.round("score", 10)).join(days(spark, sf), "dt")
+    s = s.withColumn("score", F.when(F.round("score", 10) != 0, F.round("score", 10))).join(days(spark, sf), "dt")
     reb = G.schedule(days(spark, sf), FREQ, LOOKBACK).select((F.col("bar") - 1).alias("bar"), (F.col("bar") / FREQ).cast("int").alias("period"))
     pools = panel(spark, sf).select("symbol", "pool").distinct()
     return s.join(reb, "bar").join(pools, "symbol").select("combo", "period", "symbol", "pool", "score")
@@ -184,12 +186,15 @@ def p03(spark, sf):
 def held(spark, sf):
     def build():
         c = S.ranked_candidates(scores(spark, sf), ["combo", "period"])
-        return S.stateful_selection(c, ["combo"], K, FREQ, DELTA, MIN_DAYS)
+        return grid_selection(c, ["combo"], [(DELTA, MIN_DAYS)], K, FREQ).drop("delta_rank", "min_days")
 
     return stage(spark, sf, "hysteresis", build)
 
 
-@query("p_04_hysteresis_selection")
+_HY = hysteresis("sr", "combo", K, str(FREQ), [(DELTA, MIN_DAYS)])
+
+
+@query("p_04_hysteresis_selection", f"WITH RECURSIVE {LONG}, {CW}, {SC}, {_HY} SELECT combo, period, symbol, hold_days FROM hy")
 def p04(spark, sf):
     return held(spark, sf)
 
@@ -242,7 +247,7 @@ def p05t(spark, sf):
     return rounded(PF.period_returns(plain_holdings(spark, sf), returns_by_period(spark, sf, t1=True), costs(spark, sf), ["combo"], K))
 
 
-@query("p_05_hysteresis_returns")
+@query("p_05_hysteresis_returns", f"WITH RECURSIVE {RETS}, {_HY}, {PR(hold='hy')} SELECT combo, period, round(gross, 6) AS gross, round(cost, 6) AS cost, round(net, 6) AS net FROM pr")
 def p05h(spark, sf):
     return rounded(PF.period_returns(held(spark, sf), returns_by_period(spark, sf), costs(spark, sf), ["combo"], K))
 

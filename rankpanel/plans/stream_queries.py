@@ -6,13 +6,15 @@ from pyspark.sql import functions as F
 
 from ..operators import selection as S
 from ..oracle.base import PANEL
-from ..oracle.research import t_two_sided as sql_t
+from ..oracle.holding import hysteresis
+from ..oracle.research import LONG, t_two_sided as sql_t
 from ..sources.io import scratch_path
 from ..sources.stages import stage
 from ..sources.tables import table
 from ..streaming import bars as SB
 from ..streaming import portfolio as SP
-from .portfolio_queries import DELTA, FREQ, K, MIN_DAYS, scores
+from .cross_section_queries import CW
+from .portfolio_queries import DELTA, FREQ, K, MIN_DAYS, SC, scores
 from .registry import query, rounded
 
 _DAY = "CAST(ts AS DATE)"
@@ -63,7 +65,10 @@ def feed(spark, parts, versions):
     return SP.read_log(spark, root)
 
 
-@query("st_04_stateful_portfolio")
+_HELD = f"WITH RECURSIVE {LONG}, {CW}, {SC}, {hysteresis('sr', 'combo', K, str(FREQ), [(DELTA, MIN_DAYS)])}"
+
+
+@query("st_04_stateful_portfolio", f"{_HELD} SELECT combo, period, symbol, hold_days FROM hy")
 def st04(spark, sf):
     return feed(spark, SB.slices(candidates(spark, sf), "period", 3), "111").select("combo", "period", "symbol", "hold_days")
 
@@ -83,7 +88,7 @@ def st06(spark, sf):
     return feed(spark, [a, b.where(F.col("period") > mid + 5)], "11").where("note = ''").select("combo", "period", "symbol", "hold_days")
 
 
-@query("st_07_shadow_strategies")
+@query("st_07_shadow_strategies", f"{_HELD} SELECT kind, combo, period, symbol, hold_days FROM hy, (VALUES ('live'), ('shadow')) v(kind)")
 def st07(spark, sf):
     log = feed(spark, SB.slices(candidates(spark, sf, ("live", "shadow")), "period", 2), "11")
     return log.select("kind", "combo", "period", "symbol", "hold_days")
