@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.expr import compound, ratio
+from .paths import hashed
 
 # one-way cost by tier: (domestic, foreign). Fixed values.
 COST_TIERS = {"low": (0.0010, 0.0030), "med": (0.0020, 0.0050), "high": (0.0030, 0.0080)}
@@ -82,10 +83,11 @@ def equal_weight(returns: DataFrame, gate: DataFrame | None = None) -> DataFrame
 
 
 def random_scores(panel: DataFrame, seeds: int) -> DataFrame:
-    """Reproducible random scores: a hash of (seed, date, symbol), the same on every run and executor."""
+    """Reproducible random scores: an MD5 of (seed, date, symbol), the same on every run and engine."""
     s = F.explode(F.sequence(F.lit(1), F.lit(seeds)))
     d = panel.select("symbol", "dt", "bar", s.alias("seed"))
-    return d.withColumn("score", F.pmod(F.xxhash64("seed", "dt", "symbol"), F.lit(1000003)) / F.lit(1000003.0))
+    text = F.concat_ws(":", F.col("seed"), F.col("dt").cast("string"), F.col("symbol"))
+    return d.withColumn("score", hashed(text, F.lit(1000003)) / F.lit(1000003.0))
 
 
 def stop_breaches(spells: DataFrame, pct: float, keys: Sequence[str]) -> DataFrame:

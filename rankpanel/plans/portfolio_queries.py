@@ -263,7 +263,13 @@ def p07(spark, sf):
     return rounded(PF.equal_weight(d, G.shift_gate(vol_gate(spark, sf), 1, 1.0)))
 
 
-@query("p_07_random_baseline")
+_RND = f"""rs AS (SELECT seed, CAST(bar // {FREQ} AS INT) AS period, symbol, (CAST('0x' || substr(md5(seed || ':' || CAST(dt AS VARCHAR) || ':' || symbol), 1, 12) AS BIGINT) % 1000003) / 1000003.0 AS score FROM panel, range(1, 21) g(seed) WHERE close IS NOT NULL AND bar % {FREQ} = 0 AND bar >= {LOOKBACK} + 1),
+ rh AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY seed, period ORDER BY score DESC, symbol) AS pos FROM rs) WHERE pos <= {K})"""
+_EQS = f"""qe AS (SELECT *, exp(sum(ln(1 + net)) OVER (PARTITION BY seed ORDER BY period)) AS eq FROM pr), qd AS (SELECT *, 1 - eq / greatest(1, max(eq) OVER (PARTITION BY seed ORDER BY period)) AS dd FROM qe)
+ SELECT seed, count(*) AS periods, round(sum(ln(1 + net)), 6) AS log_return, round(greatest(max(dd), 0), 6) AS max_drawdown, round(CASE WHEN count(*) >= 2 AND stddev_pop(net) > 1e-12 THEN avg(net) / stddev_pop(net) * sqrt(252.0 / {FREQ}) ELSE 0 END, 6) AS sharpe FROM qd GROUP BY seed"""
+
+
+@query("p_07_random_baseline", f"WITH {RETS}, {_RND}, {PR(hold='rh', keys='seed')}, {_EQS}")
 def p07r(spark, sf):
     from ..functions.ranking import ordinal_rank
 
@@ -271,7 +277,7 @@ def p07r(spark, sf):
     s = PF.random_scores(panel(spark, sf).where("close is not null"), 20).join(reb, "bar")
     h = s.withColumn("pos", ordinal_rank("score", ["seed", "period"], descending=True)).where(F.col("pos") <= K)
     p = PF.period_returns(h, returns_by_period(spark, sf), costs(spark, sf), ["seed"], K)
-    return rounded(PF.equity_stats(p, ["seed"], F.lit(252.0 / FREQ)))
+    return rounded(PF.equity_stats(p, ["seed"], F.lit(252.0 / FREQ)).withColumn("log_return", F.log1p("total_return")).drop("total_return"))
 
 
 @query("p_08_trailing_stop_breach", f"""WITH {LONG}, {CW}, {SC}, hb AS (SELECT h.combo, p.symbol, p.dt, p.bar, p.high, p.low FROM hd h JOIN panel p ON h.symbol = p.symbol AND p.bar // {FREQ} = h.period),

@@ -6,11 +6,13 @@ from pyspark.sql import functions as F
 
 from ..functions.expr import compound, corr, ratio
 from ..operators import gates as G
+from ..operators import paths as PT
 from ..operators import risk as R
 from ..operators.factors import with_stage_columns
 from ..oracle.factors import STAGED
 from ..sources.panel import panel
 from ..sources.stages import stage
+from ..sources.tables import table
 from .portfolio_queries import EXPO, MI, RETS, PR, days, period_net, vol_gate
 from .registry import query, rounded
 from .relational_queries import RUNS_SQL, runs
@@ -147,20 +149,79 @@ def r11(spark, sf):
     return rounded(R.episodes(curves(spark, sf)))
 
 
-@query("r_12_block_bootstrap")
+def _draws(n_boot: int, block: int, seed: int, size: str = "n") -> str:
+    """Every draw written out row by row: `bt` with one row of path statistics for each (combo, boot)."""
+    start = f"CAST('0x' || substr(md5('{seed}:' || boot || ':' || blk), 1, 12) AS BIGINT) % (n - {block} + 1)"
+    return f"""bn AS (SELECT combo, count(*) AS n, least({size}, count(*)) AS len FROM ser GROUP BY combo), bp AS (SELECT combo, row_number() OVER (PARTITION BY combo ORDER BY dt) - 1 AS pos, r FROM ser),
+ bd AS (SELECT combo, boot, blk, len, {start} AS start FROM (SELECT *, unnest(range(CAST(ceil(len / {block}.0) AS BIGINT))) AS blk FROM (SELECT *, unnest(range(1, {n_boot + 1})) AS boot FROM bn))),
+ br AS (SELECT bd.combo, boot, len, blk * {block} + k AS i, r FROM bd, range(0, {block}) g(k) JOIN bp ON bp.combo = bd.combo AND bp.pos = bd.start + k WHERE blk * {block} + k < len),
+ bf AS (SELECT *, e / max(e) OVER (PARTITION BY combo, boot ORDER BY i) - 1 AS dd FROM (SELECT *, exp(sum(ln(1 + r)) OVER (PARTITION BY combo, boot ORDER BY i)) AS e FROM br)),
+ bt AS (SELECT combo, boot, arg_max(e, i) - 1 AS total_return, power(arg_max(e, i), 252.0 / count(*)) - 1 AS annual_return, (power(arg_max(e, i), 252.0 / count(*)) - 1) / (stddev_samp(r) * sqrt(252)) AS sharpe, min(dd) AS max_drawdown FROM bf GROUP BY combo, boot)"""
+
+
+_PCT = lambda c, out: ", ".join(f"round(quantile_cont({c}, {p}), 6) AS {out}_p{int(p * 100)}" for p in (0.05, 0.5, 0.95))
+
+
+@query("r_12_block_bootstrap", f"WITH {SER}, {_draws(200, 10, 7)} SELECT combo, count(*) AS draws, {_PCT('total_return', 'return')}, {_PCT('annual_return', 'annual')}, round(avg(sharpe), 6) AS mean_sharpe, round(quantile_cont(max_drawdown, 0.01), 6) AS drawdown_p1 FROM bt GROUP BY combo")
 def r12(spark, sf):
-    b = R.block_bootstrap(series(spark, sf), 200, 10, 7)
+    b = PT.bootstrap(series(spark, sf), 200, 10, 7)
+    pct = lambda c, out: [F.percentile(c, p).alias(f"{out}_p{int(p * 100)}") for p in (0.05, 0.5, 0.95)]
     return rounded(b.groupBy("combo").agg(
-        F.count(F.lit(1)).alias("draws"), *[F.percentile("total_return", p).alias(f"return_p{int(p * 100)}") for p in (0.05, 0.5, 0.95)],
+        F.count(F.lit(1)).alias("draws"), *pct("total_return", "return"), *pct("annual_return", "annual"),
         F.avg("sharpe").alias("mean_sharpe"), F.percentile("max_drawdown", 0.01).alias("drawdown_p1")))
 
 
-@query("r_12_block_bootstrap_half_year")
+@query("r_12_block_bootstrap_half_year", f"WITH {SER}, {_draws(200, 10, 11, '126')} SELECT combo, count(*) AS draws, round(avg(total_return), 6) AS mean_return, round(quantile_cont(max_drawdown, 0.01), 6) AS drawdown_p1 FROM bt GROUP BY combo")
 def r12h(spark, sf):
-    b = R.block_bootstrap(series(spark, sf), 200, 10, 11, 126)
+    b = PT.bootstrap(series(spark, sf), 200, 10, 11, 126)
     return rounded(b.groupBy("combo").agg(F.count(F.lit(1)).alias("draws"), F.avg("total_return").alias("mean_return"), F.percentile("max_drawdown", 0.01).alias("drawdown_p1")))
 
 
+def _falls(src: str, keys: str, order: str) -> str:
+    """Falls below 5 % of the rows `src` (keys, order, dd)."""
+    k, on = (f"{keys}, ", "".join(f" AND x.{c} = y.{c}" for c in keys.split(", "))) if keys else ("", "")
+    part = f"PARTITION BY {keys} " if keys else ""
+    return f"""fa AS MATERIALIZED (SELECT *, sum(CAST(dd >= 0 AS INT)) OVER ({part}ORDER BY {order}) AS run, row_number() OVER ({part}ORDER BY {order}) AS no FROM {src}),
+ fp AS (SELECT {k}run, {order} AS peak, no AS peak_no FROM fa WHERE dd >= 0), fl AS (SELECT {k}run, min(dd) AS depth, arg_min({order}, (dd, {order})) AS trough, arg_min(no, (dd, {order})) AS trough_no, max(no) AS last_no, min({order}) FILTER (dd < -0.05) AS below FROM fa WHERE dd < 0 GROUP BY ALL HAVING min(dd) < -0.05),
+ fe AS (SELECT {''.join(f'x.{c}, ' for c in keys.split(', ')) if keys else ''}y.peak, below, trough, z.peak AS recovery, depth, trough_no - y.peak_no AS bars_down, z.peak_no - trough_no AS bars_up, last_no - y.peak_no AS bars_under
+   FROM fl x JOIN fp y ON x.run = y.run{on} LEFT JOIN fp z ON z.run = x.run + 1{on.replace('y.', 'z.')})"""
+
+
+@query("r_11_largest_drawdown", f"WITH {SER}, dq AS (SELECT combo, dt, eq / max(eq) OVER (PARTITION BY combo ORDER BY dt) - 1 AS dd FROM eq), {_falls('dq', 'combo', 'dt')} SELECT combo, peak AS peak_dt, trough AS trough_dt, recovery AS recovery_dt, round(depth, 6) AS depth, bars_down, bars_up, bars_under FROM fe QUALIFY row_number() OVER (PARTITION BY combo ORDER BY depth, peak) = 1")
+def r11l(spark, sf):
+    """Peak, trough and recovery of the deepest fall of each series, the series cut into ranges."""
+    d = PT.drawdowns(PT.running_drawdown(series(spark, sf).select("combo", "dt", "r")))
+    best = d.groupBy("combo").agg(F.min_by(F.struct(*[c for c in d.columns if c != "combo"]), F.struct("depth", "peak")).alias("x"))
+    return rounded(best.select("combo", F.col("x.peak").alias("peak_dt"), F.col("x.trough").alias("trough_dt"), F.col("x.recovery").alias("recovery_dt"), "x.depth", "x.bars_down", "x.bars_up", "x.bars_under"))
+
+
+# one long series: every event in order, its value as a small return
+_EV = "ev AS (SELECT event_id, (value - 50) / 5000 AS r FROM events WHERE value IS NOT NULL), ee AS (SELECT *, exp(sum(ln(1 + r)) OVER (ORDER BY event_id)) AS eq FROM ev), ed AS MATERIALIZED (SELECT event_id, eq, max(eq) OVER (ORDER BY event_id) AS high, eq / max(eq) OVER (ORDER BY event_id) - 1 AS dd FROM ee)"
+
+
+def event_curve(spark, sf):
+    d = table(spark, sf, "events").where("value IS NOT NULL").select("event_id", ((F.col("value") - 50) / 5000).alias("r"))
+    return stage(spark, sf, "event_curve", lambda: PT.running_drawdown(d, [], ["event_id"]))
+
+
+@query("w_02_running_drawdown_long", f"WITH {_EV} SELECT event_id, round(eq, 6) AS eq, round(high, 6) AS high, round(dd, 6) AS dd FROM ed")
+def w02l(spark, sf):
+    return rounded(event_curve(spark, sf).select("event_id", "eq", "high", "dd"))
+
+
+@query("r_11_drawdown_episodes_long", f"WITH {_EV}, {_falls('ed', '', 'event_id')} SELECT peak, below, trough, recovery, round(depth, 6) AS depth, bars_down, bars_up, bars_under FROM fe")
+def r11g(spark, sf):
+    return rounded(PT.drawdowns(event_curve(spark, sf), [], order="event_id"))
+
+
+@query("w_06_longest_streaks_long", "WITH s AS (SELECT event_id, event_type, row_number() OVER (ORDER BY event_id) - row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS g FROM events), n AS (SELECT event_type, count(*) AS length, min(event_id) AS first_event FROM s GROUP BY event_type, g) SELECT event_type, max(length) AS longest, arg_min(first_event, (-length, first_event)) AS first_event, count(*) AS streaks FROM n GROUP BY event_type")
+def w06l(spark, sf):
+    """Longest runs of one event type in the order of all events."""
+    d = PT.streaks(table(spark, sf, "events"), [], ["event_id"], F.col("event_type"))
+    d = d.select(F.col("kind").alias("event_type"), "length", F.col("first.event_id").alias("first_event"))
+    return d.groupBy("event_type").agg(F.max("length").alias("longest"), F.min_by("first_event", F.struct((-F.col("length")).alias("l"), "first_event")).alias("first_event"), F.count(F.lit(1)).alias("streaks"))
+
+
 @query("r_13_live_consistency", f"""WITH {SER}, h AS (SELECT combo, avg(r) FILTER (dt < DATE '2001-07-01') AS mu, stddev_samp(r) FILTER (dt < DATE '2001-07-01') AS sg, exp(sum(ln(1 + r)) FILTER (dt >= DATE '2001-07-01')) - 1 AS live, count(*) FILTER (dt >= DATE '2001-07-01') AS k FROM ser GROUP BY combo)
  SELECT combo, round(live, 6) AS live_return, round(power(1 + mu, k) - 1, 6) AS expected, round((live - (power(1 + mu, k) - 1)) / (sg * sqrt(k)), 6) AS z_score, CASE WHEN live < power(1 + mu, k) - 1 - 1.96 * sg * sqrt(k) THEN 'UNDERPERFORMING' WHEN live > power(1 + mu, k) - 1 + 1.96 * sg * sqrt(k) THEN 'OUTPERFORMING' ELSE 'CONSISTENT' END AS assessment FROM h""")
 def r13(spark, sf):
