@@ -65,10 +65,12 @@ def mix(docs: DataFrame, cap: int = 3, cycle: int = 3, keep: Sequence[str] | Non
     Texts are read once: the kept columns are settled with sizes and keys, and later passes read narrow columns.
     """
     keep = list(docs.columns if keep is None else keep)
-    columns = [F.col(f"`{c}`") for c in keep if c not in ADDED]  # put away first: names of the mix's own columns may be among them
-    sized = docs.select(F.struct(*columns, n_words(F.col("text")).alias("size")).alias("row"), "doc_id", "source", F.col("text").alias("words"), F.xxhash64(*columns).alias("hash"))
-    sized = sized.withColumn("size", F.col("row.size"))
-    keyed = sized.select("row", "doc_id", "source", "size", (-F.log(uniform(F.col("doc_id"))) / symbol_weight(F.col("words"), F.col("size"))).alias("key"), "hash", F.monotonically_increasing_id().alias("nr"))
+    columns = [F.col(f"`{c}`") for c in keep if c not in ADDED]
+    # names of the mix's own columns may be among the kept ones: all but the text are put away in one column first
+    row = F.struct(F.lit(True).alias("__any"), *[F.col(f"`{c}`") for c in keep if c not in (*ADDED, "text")]).alias("row")
+    sized = docs.select(row, "text", "doc_id", "source", n_words(F.col("text")).alias("size"), F.xxhash64(*columns).alias("hash"))
+    key = -F.log(uniform(F.col("doc_id"))) / symbol_weight(F.col("text"), F.col("size"))
+    keyed = sized.select("row", *(["text"] if "text" in keep else []), "doc_id", "source", "size", key.alias("key"), "hash", F.monotonically_increasing_id().alias("nr"))
     keyed = settle(keyed, "sized")
     light = keyed.select("source", *ORDER)
     per_source = light.groupBy("source").agg(F.sum("size").alias("source_size"))
@@ -97,4 +99,5 @@ def mix(docs: DataFrame, cap: int = 3, cycle: int = 3, keep: Sequence[str] | Non
     out = with_source(keyed, settle(edge, "edges"))
     chosen = F.when(F.col("cut").isNull(), F.col("rest") > 0).otherwise(F.coalesce(place <= F.col("last"), F.lit(False)))
     taken = F.col("size") * (F.col("epochs") + F.when(chosen, 1).otherwise(0))
-    return out.select("row.*", "source_size", "target", taken.cast("long").alias("taken"))
+    kept = [F.col("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in keep if c not in ADDED]
+    return out.select(*kept, "size", "source_size", "target", taken.cast("long").alias("taken"))
