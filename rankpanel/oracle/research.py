@@ -13,26 +13,39 @@ def avg_rank(x: str, part: str, desc: bool = False) -> str:
     return f"(rank() OVER (PARTITION BY {part} ORDER BY {x}{' DESC' if desc else ''}) + (count(*) OVER (PARTITION BY {part}, {x}) - 1) / 2.0)"
 
 
-_B = ", ".join(f"'{n}'" for n in BOUNDED)
 HOR = (1, 3, 5, 10, 20)
 _FWD = ", ".join(f"lead(close, {h}) OVER w / close - 1 AS fwd{h}" for h in HOR)
 
-WIDE = STAGED + f""",
-fw0 AS ({wide(NAMES)}),
+
+
+def wide_factors(names) -> str:
+    """Factors of the panel with forward returns, a column each: `fw`."""
+    return STAGED + f""",
+fw0 AS ({wide(names)}),
 fw AS MATERIALIZED (SELECT *, {_FWD} FROM fw0 WINDOW w AS (PARTITION BY symbol ORDER BY dt))"""
 
-RAW = WIDE + f""",
-rl AS MATERIALIZED (UNPIVOT fw ON {', '.join(NAMES)} INTO NAME factor VALUE value)"""
 
-LONG = RAW + f""",
+def raw_factors(names) -> str:
+    """`wide_factors`, and a row for each factor: `rl`."""
+    return wide_factors(names) + f""",
+rl AS MATERIALIZED (UNPIVOT fw ON {', '.join(names)} INTO NAME factor VALUE value)"""
+
+
+def standardised(names, bounded) -> str:
+    """`raw_factors`, and `zl`: bounded factors as centred ranks, others as clipped z-scores."""
+    inside = ", ".join(f"'{n}'" for n in bounded)
+    return raw_factors(names) + f""",
 st AS (SELECT dt, factor, avg(value) AS m, stddev_samp(value) AS sd, quantile_cont(value, 0.025) AS lo, quantile_cont(value, 0.975) AS hi, count(*) AS n FROM rl GROUP BY dt, factor),
 zl AS MATERIALIZED (
   SELECT symbol, dt, bar, pool, r, close, fwd1, fwd3, fwd5, fwd10, fwd20, factor, value FROM (
-    SELECT rl.* EXCLUDE (value), CASE WHEN rl.factor IN ({_B}) THEN {avg_rank('value', 'rl.dt, rl.factor')} / count(*) OVER (PARTITION BY rl.dt, rl.factor) - 0.5
+    SELECT rl.* EXCLUDE (value), CASE WHEN rl.factor IN ({inside}) THEN {avg_rank('value', 'rl.dt, rl.factor')} / count(*) OVER (PARTITION BY rl.dt, rl.factor) - 0.5
       WHEN sd >= 1e-10 THEN (greatest(lo, least(hi, value)) - m) / sd END AS value
     FROM rl JOIN st ON rl.dt = st.dt AND rl.factor = st.factor) WHERE value IS NOT NULL)"""
 
 
+WIDE, RAW, LONG = wide_factors(NAMES), raw_factors(NAMES), standardised(NAMES, BOUNDED)
+
+
 def ic_cte(name: str, src: str, fwd: str, keys: str = "factor, dt", need: int = 5, where: str = "", value: str = "value") -> str:
     return f"""{name} AS MATERIALIZED (SELECT {keys}, round(corr(a, b), 12) AS ic, count(*) AS n FROM (
    SELECT {keys}, {avg_rank(value, keys)} AS a, {avg_rank(fwd, keys)} AS b FROM {src} WHERE {fwd} IS NOT NULL AND {value} IS NOT NULL {where})
