@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.selection import quantiles_of
 from ..operators import enumeration as EN
+from ..operators import mining as M
 from ..operators import quality as Q
 from ..operators import walkforward as WF
 from ..operators.cross_section import standardise
@@ -112,3 +113,22 @@ def c06w(spark, sf):
     names = sorted(r["factor"] for r in traded(spark, sf).select("factor").collect())  # at most the library
     w = stage(spark, sf, "traded_weights", lambda: WF.combo_weights(traded_combos(spark, sf), traded_stats(spark, sf)))
     return rounded(WF.matrix_ic(traded_combos(spark, sf), w, all_long(spark, sf, names), decisions(spark, sf), compounded(spark, sf), names))
+
+
+# all pairs of the library under six operations
+
+_ALG = f"""fi AS (SELECT factor, CAST(row_number() OVER (ORDER BY factor) AS INT) AS f FROM (SELECT DISTINCT factor FROM zl)), zi AS MATERIALIZED (SELECT f, dt, symbol, fwd1, round(value, 5) AS value FROM zl JOIN fi ON fi.factor = zl.factor WHERE fwd1 IS NOT NULL),
+ al AS (SELECT * FROM (SELECT fa, fb, dt, fwd1, unnest(['add', 'div', 'max', 'min', 'mul', 'sub']) AS op, unnest([x + y, CASE WHEN y <> 0 THEN x / y END, greatest(x, y), least(x, y), x * y, x - y]) AS v
+   FROM (SELECT a.f AS fa, b.f AS fb, a.dt, a.fwd1, a.value AS x, b.value AS y FROM zi a JOIN zi b ON a.dt = b.dt AND a.symbol = b.symbol AND a.f < b.f)) WHERE v IS NOT NULL),
+ ar AS (SELECT fa, fb, op, dt, rank() OVER (PARTITION BY fa, fb, op, dt ORDER BY v) + (count(*) OVER (PARTITION BY fa, fb, op, dt, v) - 1) / 2.0 AS a, rank() OVER (PARTITION BY fa, fb, op, dt ORDER BY fwd1) + (count(*) OVER (PARTITION BY fa, fb, op, dt, fwd1) - 1) / 2.0 AS b
+   FROM (SELECT fa, fb, op, dt, fwd1, round(v, 10) AS v FROM al)),
+ ai AS (SELECT fa, fb, op, dt, round(corr(a, b), 12) AS ic FROM ar GROUP BY fa, fb, op, dt HAVING count(*) >= 5 AND min(a) < max(a) AND min(b) < max(b)),
+ an AS (SELECT x.factor || '__' || op || '__' || y.factor AS factor, ic FROM ai JOIN fi x ON x.f = fa JOIN fi y ON y.f = fb)"""
+
+
+@query("m_01_algebraic_search_all", f"WITH {LONG_ALL}, {_ALG} SELECT factor, round(mean_ic, 6) AS mean_ic, round(ic_ir, 6) AS ic_ir, round(hit_rate, 6) AS hit_rate, n_obs FROM ({summary('an')})")
+def m01w(spark, sf):
+    """Every candidate of the library: one block of symbols x candidates a date."""
+    base = all_standard(spark, sf).select("dt", "symbol", "fwd1", *[F.round(c, 5).alias(c) for c in ALL])  # products of five digits are exact at ten, and no sign hangs on the last bit
+    d = M.algebra_ic(base, M.algebra_names(ALL), "fwd1")
+    return rounded(Q.summarise(d).select("factor", "mean_ic", "ic_ir", "hit_rate", "n_obs"))
