@@ -104,6 +104,14 @@ def s10(spark, sf):
     return T.upsert(d.where(early), d.where(~early), ["symbol", "dt"], "day")
 
 
+@query("s_10_upsert_counts", f"WITH {FACTS}, {_DAYS}, g AS (SELECT symbol, dt, count(*) FILTER (isodow(day) BETWEEN 1 AND 3) AS early, count(*) FILTER (isodow(day) NOT BETWEEN 1 AND 3) AS late FROM d GROUP BY symbol, dt) SELECT symbol, CAST(sum(CAST(early = 0 AS INT)) AS BIGINT) AS new_rows, CAST(sum(CAST(early > 0 AND late > 0 AS INT)) AS BIGINT) AS replaced, CAST(sum(CAST(late = 0 AS INT)) AS BIGINT) AS kept FROM g GROUP BY symbol")
+def s10n(spark, sf):
+    """How many keys an upsert of the later days adds, replaces and leaves, for each symbol."""
+    d = daily_facts(spark, sf, "brand").select("symbol", F.to_date(F.date_trunc("week", "day")).alias("dt"), F.dayofweek("day").between(2, 4).alias("early"))
+    g = d.groupBy("symbol", "dt").agg(F.max("early").alias("before"), F.max(~F.col("early")).alias("after"))
+    return g.groupBy("symbol").agg(F.count_if(~F.col("before")).alias("new_rows"), F.count_if(F.col("before") & F.col("after")).alias("replaced"), F.count_if(~F.col("after")).alias("kept"))
+
+
 @query("s_11_incremental_range", f"""WITH {FACTS}, w AS (SELECT symbol, max(dt) AS watermark FROM facts WHERE weekofyear(dt) <= 26 GROUP BY symbol)
  SELECT f.symbol, w.watermark, count(*) AS new_rows, min(f.dt) AS first_new FROM facts f JOIN w ON f.symbol = w.symbol AND f.dt > w.watermark GROUP BY ALL""")
 def s11(spark, sf):

@@ -198,6 +198,15 @@ def j16(spark, sf):
     return back.groupBy("symbol").pivot("yr", [f"y{y}" for y in _YRS]).agg(F.sum("volume"))
 
 
+@query("j_16_pivot_unpivot_all_years", f"WITH {FACTS} SELECT symbol, 'y' || year(dt) AS yr, sum(volume) AS volume FROM facts GROUP BY ALL HAVING sum(volume) IS NOT NULL")
+def j16a(spark, sf):
+    """The same with the years that the data have."""
+    w = facts(spark, sf).select("symbol", F.concat(F.lit("y"), F.year("dt")).alias("yr"), "volume")
+    years = sorted(r["yr"] for r in w.select("yr").distinct().collect())  # bounded by the calendar
+    wide = w.groupBy("symbol").pivot("yr", years).agg(F.sum("volume"))
+    return wide.unpivot(["symbol"], years, "yr", "volume").where("volume IS NOT NULL")
+
+
 # ---------------------------------------------------------------- E
 
 

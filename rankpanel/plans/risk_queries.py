@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 from ..functions.expr import compound, corr, ratio
 from ..operators import gates as G
 from ..operators import paths as PT
+from ..operators import portfolio as PF
 from ..operators import risk as R
 from ..operators.factors import with_stage_columns
 from ..oracle.factors import STAGED
 from ..sources.panel import panel
 from ..sources.stages import stage
 from ..sources.tables import table
-from .portfolio_queries import EXPO, MI, RETS, PR, days, period_net, vol_gate
+from .portfolio_queries import EXPO, FREQ, K, MI, RETS, PR, days, period_net, plain_holdings, vol_gate
 from .registry import query, rounded
 from .relational_queries import RUNS_SQL, runs
 from .side_queries import islands
@@ -72,6 +73,15 @@ def r02(spark, sf):
         F.round(F.when(lo != 0, F.abs(F.sum(F.when(n > 0, n)) / lo)), 4).alias("profit_factor")))
 
 
+@query("r_02_annual_metrics", f"WITH {RETS}, {PR()}, tc AS (SELECT combo, count(*) AS changes FROM prt GROUP BY combo) SELECT pr.combo, round(sum(ln(1 + net)) * (252.0 / {FREQ}) / count(*), 6) AS log_annual_return, round(stddev_samp(net) * sqrt(252.0 / {FREQ}), 6) AS annual_volatility, round(any_value(changes) / (2.0 * {K} * count(*)), 6) AS turnover FROM pr JOIN tc ON tc.combo = pr.combo GROUP BY pr.combo")
+def r02a(spark, sf):
+    """Annual growth (as a logarithm), volatility, and the share of positions exchanged at a decision."""
+    changes = PF.turnover(plain_holdings(spark, sf), ["combo"]).groupBy("combo").agg(F.count(F.lit(1)).alias("changes"))
+    g = period_net(spark, sf).groupBy("combo").agg(F.count(F.lit(1)).alias("n"), F.sum(F.log1p("net")).alias("growth"), F.stddev_samp("net").alias("s"))
+    year = 252.0 / FREQ
+    return rounded(g.join(changes, "combo").select("combo", (F.col("growth") * year / F.col("n")).alias("log_annual_return"), (F.col("s") * year**0.5).alias("annual_volatility"), (F.col("changes") / (2.0 * K * F.col("n"))).alias("turnover")))
+
+
 @query("r_03_calendar_segments", f"WITH {SER}, q AS (SELECT *, CAST(date_trunc('quarter', dt) AS DATE) AS segment FROM eq), g AS ({WM('q', 'combo, segment')}) SELECT g.combo, g.segment, {WC}, h.first_dt > DATE '{CUT}' AS holdout FROM g JOIN (SELECT combo, segment, min(dt) AS first_dt FROM q GROUP BY ALL) h ON g.combo = h.combo AND g.segment = h.segment")
 def r03(spark, sf):
     return segments(spark, sf)
@@ -103,6 +113,12 @@ def r06(spark, sf):
     return wm(R.overlapping_windows(d, 126, 21), ["combo", "win"])
 
 
+@query("r_06_worst_month", f"WITH {SER}, m AS (SELECT combo, CAST(date_trunc('month', dt) AS DATE) AS month, round(exp(sum(ln(1 + r))) - 1, 10) AS r FROM ser GROUP BY ALL) SELECT combo, count(*) AS months, arg_min(month, (r, month)) AS worst_month, round(min(r), 6) AS worst_return, round(avg(CAST(r > 0 AS INT)), 6) AS positive_rate FROM m GROUP BY combo")
+def r06m(spark, sf):
+    m = series(spark, sf).groupBy("combo", F.to_date(F.date_trunc("month", "dt")).alias("month")).agg(F.round(compound("r"), 10).alias("r"))
+    return rounded(m.groupBy("combo").agg(F.count(F.lit(1)).alias("months"), F.min_by("month", F.struct("r", "month")).alias("worst_month"), F.min("r").alias("worst_return"), F.avg((F.col("r") > 0).cast("double")).alias("positive_rate")))
+
+
 @query("r_07_period_pnl", f"WITH {SER} SELECT combo, CAST(bar // 5 AS BIGINT) AS period, count(*) AS bars, round(exp(sum(ln(1 + r))) - 1, 6) AS pnl FROM ser GROUP BY ALL")
 def r07(spark, sf):
     return rounded(series(spark, sf).groupBy("combo", F.floor(F.col("bar") / 5).alias("period")).agg(F.count(F.lit(1)).alias("bars"), compound("r").alias("pnl")))
