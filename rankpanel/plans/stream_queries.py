@@ -102,6 +102,28 @@ def st08(spark, sf):
     return d.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
 
 
+_HELD_BACK = "ts < TIMESTAMP '2024-01-16' AND event_id % 7 = 0"
+
+
+def late_arrivals(spark, sf):
+    """Every seventh event of the first half arrives after the second half."""
+    d = table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    first, held = F.col("ts") < F.to_timestamp(F.lit("2024-01-16")), F.col("event_id") % 7 == 0
+    return [d.where(first & ~held), d.where(~first), d.where(first & held)]
+
+
+@query("st_08_late_rows_corrected", f"""WITH m AS (SELECT max(ts) - INTERVAL 24 HOURS AS mark FROM events WHERE NOT ({_HELD_BACK})), e AS (SELECT {_DAY} AS dt, event_type, value, {_HELD_BACK} AND ts < mark AS late FROM events, m)
+ SELECT dt, event_type, count(*) AS n, CAST(sum(CAST(late AS INT)) AS BIGINT) AS n_late, round(coalesce(sum(value) FILTER (NOT late), 0), 4) AS volume_before, round(sum(value), 4) AS volume, max(value) AS high FROM e GROUP BY ALL""")
+def st08c(spark, sf):
+    """Slices out of order: late rows go to a table of their own, and the day's bar is corrected by them."""
+    ontime, late = SB.split_late(spark, late_arrivals(spark, sf), scratch_path(spark, "late"))
+    d = spark.read.parquet(ontime).unionByName(spark.read.parquet(late))
+    value = F.col("value")
+    return d.groupBy(F.to_date("ts").alias("dt"), "event_type").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if("late").alias("n_late"), F.round(F.coalesce(F.sum(F.when(~F.col("late"), value)), F.lit(0.0)), 4).alias("volume_before"), F.round(F.sum(value), 4).alias("volume"), F.max(value).alias("high")
+    )
+
+
 @query("u_01_student_t", "WITH g AS (SELECT l_suppkey, avg(l_discount - 0.05) / (stddev_samp(l_discount) / sqrt(count(*))) AS t, count(*) - 1 AS nu FROM lineitem GROUP BY l_suppkey HAVING count(*) > 2 AND stddev_samp(l_discount) > 0) SELECT l_suppkey, nu, round(" + sql_t("t", "nu") + ", 6) AS p_value FROM g")
 def u01(spark, sf):
     from ..functions.student import t_two_sided
