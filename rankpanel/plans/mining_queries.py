@@ -137,6 +137,21 @@ def m03(spark, sf):
     return rounded(Q.summarise(Q.rank_ic(long, "fwd1")).select("factor", "mean_ic", "p_value", "n_obs"))
 
 
+_DEFAULT, _VALID = 20, 0.5
+_VN = [n for n in _VS if f"_{_DEFAULT}D_" not in n]
+
+
+@query("m_03_window_variants_valid", f"WITH {STAGED}, v0 AS (SELECT symbol, dt, lead(close) OVER w / close - 1 AS fwd1, {', '.join(f'round({_VS[n]}, 10) AS {n}' for n in _VN)} FROM s {_VW}), v AS MATERIALIZED (UNPIVOT v0 ON {', '.join(_VN)} INTO NAME factor VALUE value), vv AS (SELECT factor, count(*) / CAST((SELECT count(*) FROM panel) AS DOUBLE) AS valid_rate FROM v GROUP BY factor), {ic_cte('icv', 'v', 'fwd1')} SELECT u.factor, round(valid_rate, 6) AS valid_rate, round(mean_ic, 6) AS mean_ic, round(p_value, 6) AS p_value, n_obs FROM ({summary('icv')}) u JOIN vv ON vv.factor = u.factor WHERE valid_rate >= {_VALID}")
+def m03v(spark, sf):
+    """Without the default window, and only variants that are present in half of the panel."""
+    d = with_forward(with_stage_columns(panel(spark, sf)))
+    v = {n: c for n, c in M.window_variants(_WN).items() if n in _VN}
+    long = to_long(d.select("dt", "symbol", "fwd1", *[F.round(c, 10).alias(n) for n, c in v.items()]), list(v), ("dt", "symbol", "fwd1"))
+    long = stage(spark, sf, "window_variants", lambda: long)
+    rates = M.valid_rates(long, panel(spark, sf).count()).where(F.col("valid_rate") >= _VALID)
+    return rounded(Q.summarise(Q.rank_ic(long, "fwd1")).join(rates, "factor").select("factor", "valid_rate", "mean_ic", "p_value", "n_obs"))
+
+
 _TR = f"""tr0 AS (SELECT dt, symbol, fwd1, factor, value, {rk('value', 'factor, dt')} / count(*) OVER (PARTITION BY factor, dt) AS rnk FROM zl),
  tr AS MATERIALIZED (SELECT dt, symbol, fwd1, factor || '__' || t AS factor, round(CASE t WHEN 'rank' THEN rnk WHEN 'log1p' THEN sign(value) * ln(1 + abs(value)) WHEN 'sqrt' THEN sign(value) * sqrt(abs(value)) WHEN 'sign' THEN sign(value) ELSE abs(value) END, 10) AS value FROM tr0, (VALUES ('rank'), ('log1p'), ('sqrt'), ('sign'), ('abs')) v(t))"""
 
@@ -147,6 +162,13 @@ def m04(spark, sf):
     return rounded(Q.summarise(Q.rank_ic(long, "fwd1")).select("factor", "mean_ic", "p_value"))
 
 
+@query("m_04_transform_search_valid", f"WITH {LONG}, {_TR}, tv AS (SELECT factor, count(*) / CAST((SELECT count(*) FROM panel) AS DOUBLE) AS valid_rate FROM tr GROUP BY factor), {ic_cte('ict', 'tr', 'fwd1')} SELECT u.factor, round(valid_rate, 6) AS valid_rate, round(mean_ic, 6) AS mean_ic, round(p_value, 6) AS p_value FROM ({summary('ict')}) u JOIN tv ON tv.factor = u.factor WHERE valid_rate >= {_VALID}")
+def m04v(spark, sf):
+    long = stage(spark, sf, "transforms", lambda: M.transforms_long(std_long(spark, sf).select("dt", "symbol", "fwd1", "factor", "value")))
+    rates = M.valid_rates(long, panel(spark, sf).count()).where(F.col("valid_rate") >= _VALID)
+    return rounded(Q.summarise(Q.rank_ic(long, "fwd1")).join(rates, "factor").select("factor", "valid_rate", "mean_ic", "p_value"))
+
+
 def supplier_tests(spark, sf):
     """One t-test per supplier: is its mean bar return different from 0?"""
     d = with_stage_columns(panel(spark, sf, "supplier")).where("r is not null").groupBy("symbol").agg(F.avg("r").alias("m"), F.stddev_samp("r").alias("s"), F.count("r").alias("n")).where("n >= 30")
