@@ -8,6 +8,7 @@ groups too large for one task. `ranked` checks the largest group and picks one.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -59,9 +60,15 @@ def rank01(value, by, tie="symbol") -> Column:
 # ---------------------------------------------------------------- split form
 
 
-def split_positions(df: DataFrame, by: Sequence[str], order: Sequence[Column], out: str, parts: int | None = None) -> DataFrame:
+def _same(a: str, b: str, columns: Sequence[str]) -> Column:
+    return reduce(lambda x, c: x & F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")), columns, F.lit(True))
+
+
+def split_positions(df: DataFrame, by: Sequence[str], order: Sequence[Column], out: str, parts: int | None = None, weight: str | None = None) -> DataFrame:
     """Row position 1..n inside each group without ever putting a group into one task.
 
+    With `weight`, a row that stands for several: the running total of that column, the row included.
+
     Rows are range-partitioned on (group, order keys), so a hot group spreads over many partitions.
     The partition number is written to the checkpoint folder together with the rows, which fixes it
     for both uses below: counts per (group, partition) give the offset, and a window inside
@@ -71,19 +78,16 @@ def split_positions(df: DataFrame, by: Sequence[str], order: Sequence[Column], o
     parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keys = [F.col(c) for c in by] + list(order)
     laid = cut_lineage(df.repartitionByRange(parts, *keys).withColumn("__part", F.spark_partition_id()))
-    counts = laid.groupBy(*by, "__part").agg(F.count(F.lit(1)).alias("__n"))
+    rows = F.lit(1) if weight is None else F.col(weight)
+    counts = laid.groupBy(*by, "__part").agg(F.sum(rows).alias("__n"))
     before = W.partitionBy(*by).orderBy("__part").rowsBetween(W.unboundedPreceding, -1)
     if not by:
         counts = counts.withColumn("__one", F.lit(1))
         before = W.partitionBy("__one").orderBy("__part").rowsBetween(W.unboundedPreceding, -1)
     offsets = counts.select(*by, "__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
-    local = F.row_number().over(W.partitionBy(*by, "__part").orderBy(*order))
-    return (
-        laid.withColumn("__local", local)
-        .join(offsets, [*by, "__part"])
-        .withColumn(out, F.col("__before") + F.col("__local"))
-        .drop("__part", "__local", "__before")
-    )
+    local = F.sum(rows).over(W.partitionBy(*by, "__part").orderBy(*order).rowsBetween(W.unboundedPreceding, 0))
+    d, o = laid.withColumn("__local", local).alias("d"), offsets.alias("o")
+    return d.join(o, _same("d", "o", [*by, "__part"])).select(*[F.col(f"d.{c}") for c in df.columns], (F.col("__before") + F.col("__local")).alias(out))
 
 
 def largest_group(df: DataFrame, by: Sequence[str]) -> int:
@@ -114,16 +118,14 @@ def ranked(
             return d.withColumn(out, F.row_number().over(w.orderBy(order, F.col(tie))))
         ties = F.count(F.lit(1)).over(W.partitionBy(*keys, F.col(value)))
         return d.withColumn(out, F.rank().over(w.orderBy(order)) + (ties - 1) / F.lit(2.0))
-    d = split_positions(d, by, [order, F.col(tie).asc()], "__pos")
     if not average:
-        return d.withColumnRenamed("__pos", out)
-    # a tie may span partitions: its first position and size come from a map-side combined count
-    ties = d.groupBy(*by, value).agg(F.min("__pos").alias("__first"), F.count(F.lit(1)).alias("__ties"))
-    return (
-        d.join(ties, [*by, value])
-        .withColumn(out, F.col("__first") + (F.col("__ties") - 1) / F.lit(2.0))
-        .drop("__pos", "__first", "__ties")
-    )
+        return split_positions(d, by, [order, F.col(tie).asc()], out)
+    # an average rank hangs on how many rows have each value, not on their order: values are counted map-side,
+    # their running totals are split, and the rows themselves move at most once, in the join
+    ties = d.groupBy(*by, value).agg(F.count(F.lit(1)).alias("__ties"))
+    ties = split_positions(ties, by, [order], "__upto", weight="__ties")
+    rank = F.col("__upto") - (F.col("__ties") - 1) / F.lit(2.0)
+    return d.alias("d").join(ties.alias("t"), _same("d", "t", [*by, value])).select(*[F.col(f"d.{c}") for c in d.columns], rank.alias(out))
 
 
 def quantiles(df: DataFrame, value: str, probs: Sequence[float], by: Sequence[str] = (), tie: str = "symbol", limit: int = GROUP_LIMIT) -> DataFrame:
