@@ -144,24 +144,25 @@ def benjamini_hochberg(d: DataFrame, p: str, key: str, alpha: float = 0.05, limi
 
     q_i is the smallest p_j n / j over j >= i. Above `limit` rows the order comes from the split
     ranking; the suffix minimum is then taken over blocks of positions first (one row per block) and
-    inside each block second, so no task sees all rows.
+    inside each block second, so no task sees all rows. Suffix minima run backwards from the last position:
+    a frame that ends at unbounded following is evaluated anew for every row.
     """
     d = d.where(F.col(p).isNotNull())
     n = d.count()
     order = [F.col(p).asc(), F.col(key).asc()]
-    back = lambda w: w.rowsBetween(0, W.unboundedFollowing)
+    back = lambda w: w.orderBy(F.col("__i").desc()).rowsBetween(W.unboundedPreceding, 0)
     if n <= limit:
         r = d.withColumn("__i", F.row_number().over(W.partitionBy(F.lit(1)).orderBy(*order)))
         r = r.withColumn("__raw", F.col(p) * n / F.col("__i"))
-        q = F.min("__raw").over(back(W.partitionBy(F.lit(1)).orderBy("__i")))
+        q = F.min("__raw").over(back(W.partitionBy(F.lit(1))))
         r = r.withColumn("q_value", F.least(F.lit(1.0), q))
     else:
         r = split_positions(d, [], order, "__i").withColumn("__raw", F.col(p) * n / F.col("__i"))
         r = r.withColumn("__blk", F.floor(F.col("__i") / F.lit(max(1, min(limit, 500_000)))))
         blocks = r.groupBy("__blk").agg(F.min("__raw").alias("__m"))
-        after = W.partitionBy(F.lit(1)).orderBy("__blk").rowsBetween(1, W.unboundedFollowing)
+        after = W.partitionBy(F.lit(1)).orderBy(F.col("__blk").desc()).rowsBetween(W.unboundedPreceding, -1)
         blocks = blocks.select("__blk", F.min("__m").over(after).alias("__next"))
-        inner = F.min("__raw").over(back(W.partitionBy("__blk").orderBy("__i")))
+        inner = F.min("__raw").over(back(W.partitionBy("__blk")))
         r = r.withColumn("__q", inner).join(blocks, "__blk")
         r = r.withColumn("q_value", F.least(F.lit(1.0), F.col("__q"), F.coalesce("__next", F.lit(1.0)))).drop("__blk", "__q", "__next")
     r = r.withColumn("p_bonferroni", F.least(F.lit(1.0), F.col(p) * n)).withColumn("reject", F.col("q_value") <= alpha)

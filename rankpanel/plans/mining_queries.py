@@ -173,7 +173,7 @@ def supplier_tests(spark, sf):
     """One t-test per supplier: is its mean bar return different from 0?"""
     d = with_stage_columns(panel(spark, sf, "supplier")).where("r is not null").groupBy("symbol").agg(F.avg("r").alias("m"), F.stddev_samp("r").alias("s"), F.count("r").alias("n")).where("n >= 30")
     d = d.withColumn("t", F.try_divide(F.col("m"), F.col("s") / F.sqrt("n")))
-    return d.select("symbol", F.round(t_two_sided("t", F.col("n") - 1), 10).alias("p_value"))
+    return stage(spark, sf, "supplier_tests", lambda: d.select("symbol", F.round(t_two_sided("t", F.col("n") - 1), 10).alias("p_value")))
 
 
 _BH = f"""WITH {SUPPLIER_PANEL}, a AS (SELECT symbol, close / lag(close) OVER (PARTITION BY symbol ORDER BY dt) - 1 AS r FROM panel), b AS (SELECT symbol, avg(r) / (stddev_samp(r) / sqrt(count(r))) AS t, count(r) AS n FROM a WHERE r IS NOT NULL GROUP BY symbol HAVING count(r) >= 30),

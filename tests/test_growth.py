@@ -6,6 +6,27 @@ import random
 from pyspark.sql import functions as F
 
 from rankpanel.functions import ranking as K
+from rankpanel.operators import mining as M
+
+
+def plan_of(d):
+    return d._jdf.queryExecution().toString().lower()
+
+
+def test_suffix_minimum_runs_backwards(spark):
+    rnd = random.Random(4)
+    rows = [(f"k{i:03d}", round(rnd.random() ** 2, 3)) for i in range(200)]
+    d = spark.createDataFrame(rows, "k string, p double")
+    order = sorted(rows, key=lambda r: (r[1], r[0]))
+    want, best = {}, 1.0
+    for i in range(len(order) - 1, -1, -1):
+        best = min(best, order[i][1] * len(order) / (i + 1))
+        want[order[i][0]] = best
+    for limit in (1000, 9):
+        q = M.benjamini_hochberg(d, "p", "k", limit=limit)
+        assert "unboundedfollowing" not in plan_of(q)  # such a frame is evaluated anew for every row
+        got = {r.k: r.q_value for r in q.collect()}
+        assert got.keys() == want.keys() and all(math.isclose(got[k], want[k]) for k in want)
 
 
 def ranks(rows, down=False):
