@@ -63,7 +63,7 @@ _SUP = f"WITH {SUPPLIER_PANEL}, v AS (SELECT symbol, dt, volume FROM panel WHERE
 @query("x_05_average_rank_split", f"{_SUP} SELECT symbol, dt, volume, {rk('volume', 'dt')} AS rank FROM v")
 def x05s(spark, sf):
     """Same ranks with every date's cross-section spread over several tasks (volume has many ties)."""
-    d = panel(spark, sf, "supplier").select("symbol", "dt", "volume")
+    d = panel(spark, sf, "supplier", side=False).select("symbol", "dt", "volume")
     return ranked(d, "volume", "rank", by=["dt"], average=True, limit=0)
 
 

@@ -171,7 +171,7 @@ def m04v(spark, sf):
 
 def supplier_tests(spark, sf):
     """One t-test per supplier: is its mean bar return different from 0?"""
-    d = with_stage_columns(panel(spark, sf, "supplier")).where("r is not null").groupBy("symbol").agg(F.avg("r").alias("m"), F.stddev_samp("r").alias("s"), F.count("r").alias("n")).where("n >= 30")
+    d = with_stage_columns(panel(spark, sf, "supplier", side=False)).where("r is not null").groupBy("symbol").agg(F.avg("r").alias("m"), F.stddev_samp("r").alias("s"), F.count("r").alias("n")).where("n >= 30")
     d = d.withColumn("t", F.try_divide(F.col("m"), F.col("s") / F.sqrt("n")))
     return stage(spark, sf, "supplier_tests", lambda: d.select("symbol", F.round(t_two_sided("t", F.col("n") - 1), 10).alias("p_value")))
 

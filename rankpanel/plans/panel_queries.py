@@ -29,7 +29,7 @@ def s01(spark, sf):
 
 @query("s_01_scan_bars_supplier", f"WITH {SUPPLIER_FACTS} SELECT symbol, dt, {OHLC}, round(volume, 2) AS volume, round(amount, 2) AS amount FROM facts")
 def s01b(spark, sf):
-    d = facts(spark, sf, "supplier").select("symbol", "dt", "open", "high", "low", "close", F.round("volume", 2).alias("volume"), F.round("amount", 2).alias("amount"))
+    d = facts(spark, sf, "supplier", side=False).select("symbol", "dt", "open", "high", "low", "close", F.round("volume", 2).alias("volume"), F.round("amount", 2).alias("amount"))
     return d
 
 
@@ -89,7 +89,7 @@ def s09(spark, sf):
 
 @query("s_09_forward_fill_supplier", f"WITH {SUPPLIER_PANEL} SELECT symbol, dt, close, traded FROM panel")
 def s09b(spark, sf):
-    return panel(spark, sf, "supplier").select("symbol", "dt", "close", "traded")
+    return panel(spark, sf, "supplier", side=False).select("symbol", "dt", "close", "traded")
 
 
 _DAYS = f"d AS (SELECT symbol, CAST(date_trunc('week', day) AS DATE) AS dt, day, amount / volume AS price, volume FROM daily)"

@@ -179,7 +179,7 @@ def j14s(spark, sf):
     """Over an unbounded universe: each task keeps its own best k of every date before the final ranking."""
     from ..operators.selection import topk_two_step
 
-    return topk_two_step(facts(spark, sf, "supplier").select("symbol", "dt", "volume"), ["dt"], "volume", 10, "pos")
+    return topk_two_step(facts(spark, sf, "supplier", side=False).select("symbol", "dt", "volume"), ["dt"], "volume", 10, "pos")
 
 
 @query("j_15_distinct", "SELECT DISTINCT p_brand AS symbol, p_type AS kind, p_size AS size FROM part")

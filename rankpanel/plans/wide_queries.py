@@ -71,7 +71,7 @@ def x02w(spark, sf):
 
 @query("x_02_bounds_supplier", f"WITH {SUPPLIER_PANEL} SELECT dt, count(volume) AS n, round(quantile_cont(volume, 0.025), 4) AS q0, round(quantile_cont(volume, 0.975), 4) AS q1 FROM panel WHERE volume IS NOT NULL GROUP BY dt")
 def x02s(spark, sf):
-    return rounded(quantiles_of(panel(spark, sf, "supplier"), "volume", (0.025, 0.975), ["dt"]), 4)
+    return rounded(quantiles_of(panel(spark, sf, "supplier", side=False), "volume", (0.025, 0.975), ["dt"]), 4)
 
 
 @query("x_04_quantiles_of_one_group", "SELECT l_returnflag, count(*) AS n, round(quantile_cont(l_extendedprice, 0.1), 4) AS q0, round(quantile_cont(l_extendedprice, 0.5), 4) AS q1, round(quantile_cont(l_extendedprice, 0.999), 4) AS q2 FROM lineitem GROUP BY l_returnflag")

@@ -1,8 +1,9 @@
 """Explicit-schema readers for the input tables and the weekly (symbol, dt) bars made from them.
 
-Bars are made in two hash aggregations. The first collapses order lines to (symbol, day) map-side, so
-a symbol that owns a third of all lines leaves each task as a few thousand daily rows; the second
-rolls days into weeks. Sums of cents are rounded to cents, so both the prices and everything after
+Bars are made in two hash aggregations, lines to (symbol, day) and days to weeks. Brands are few: their lines
+collapse map-side, so a symbol that owns a third of all lines leaves each task as a few thousand daily rows.
+Suppliers have a few lines a week, which leaves nothing to collapse: their lines move once, by (supplier, week),
+and both aggregations follow in place; a supplier that owns a third of all lines is spread over its weeks. Sums of cents are rounded to cents, so both the prices and everything after
 them start from the same doubles whatever the order of summation.
 """
 
@@ -28,19 +29,20 @@ FOREIGN_POOL = 4
 
 
 def order_lines(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
-    """Order lines with their symbol: the brand of the part, or the supplier."""
+    """Order lines with their symbol: the brand of the part, or the number of the supplier."""
     li = table(spark, sf_dir, "lineitem").select(
         "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"
     )
     if kind == "supplier":
-        return li.withColumn("symbol", F.format_string("S%09d", "l_suppkey")).withColumn("p_retailprice", F.lit(None).cast("double"))
+        return li.withColumn("symbol", F.col("l_suppkey")).withColumn("p_retailprice", F.lit(None).cast("double"))
     part = table(spark, sf_dir, "part").select("p_partkey", F.col("p_brand").alias("symbol"), "p_retailprice")
     # no hint: `part` grows with the data; AQE broadcasts it only below its size threshold and
     # splits hot part keys in the sort-merge join otherwise
     return li.join(part, li.l_partkey == part.p_partkey)
 
 
-def daily_facts(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
+def daily_facts(spark: SparkSession, sf_dir: str, kind: str, side: bool = True) -> DataFrame:
+    """One row per (symbol, day), with its week `dt`; `side` adds the side quantities."""
     price = F.col("l_extendedprice") / F.col("l_quantity")
     ep, q = F.col("l_extendedprice"), F.col("l_quantity")
     flag, status = F.col("l_returnflag"), F.col("l_linestatus")
@@ -48,15 +50,14 @@ def daily_facts(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
     def total(x, cond=None):
         return F.sum(F.when(cond, x).otherwise(F.lit(0.0)) if cond is not None else x)
 
-    return (
-        order_lines(spark, sf_dir, kind)
-        .where(q > 0)
-        .groupBy("symbol", F.to_date("l_shipdate").alias("day"))
-        .agg(
-            F.round(F.sum(ep), 2).alias("amount"),
-            F.sum(q).alias("volume"),
-            F.max(price).alias("high"),
-            F.min(price).alias("low"),
+    facts = [
+        F.round(F.sum(ep), 2).alias("amount"),
+        F.sum(q).alias("volume"),
+        F.max(price).alias("high"),
+        F.min(price).alias("low"),
+    ]
+    if side:
+        facts += [
             F.count(F.lit(1)).alias("lines"),
             total(F.when(flag == "R", -q).otherwise(q)).alias("net_qty"),
             F.round(total(F.col("l_discount") * ep), 4).alias("rzye"),
@@ -67,25 +68,31 @@ def daily_facts(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
             total(q, flag == "A").alias("rqchl"),
             total(q, (flag == "R") & (status == "F")).alias("rqmcl"),
             F.round(F.sum(F.col("p_retailprice") * q), 2).alias("nav_value"),
-        )
-    )
+        ]
+    day = F.to_date("l_shipdate")
+    used = ("l_quantity", "l_extendedprice") + (("l_discount", "l_tax", "l_returnflag", "l_linestatus", "p_retailprice") if side else ())
+    lines = order_lines(spark, sf_dir, kind).where(q > 0).select("symbol", day.alias("day"), F.to_date(F.date_trunc("week", day)).alias("dt"), *used)
+    if kind == "supplier":
+        lines = lines.repartition("symbol", "dt")
+    return lines.groupBy("symbol", "dt", "day").agg(*facts)
 
 
 SUMMED = ("amount", "volume", "net_qty", "rzye", "rzmre", "rzche", "rqye", "rqyl", "rqchl", "rqmcl", "nav_value")
 
 
-def weekly_facts(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
-    """One row per traded (symbol, week): prices, volume and the raw side quantities."""
-    d = daily_facts(spark, sf_dir, kind)
+def weekly_facts(spark: SparkSession, sf_dir: str, kind: str, side: bool = True) -> DataFrame:
+    """One row per traded (symbol, week): prices, volume, amount and, with `side`, the raw side quantities."""
+    d = daily_facts(spark, sf_dir, kind, side)
     vwap = F.col("amount") / F.col("volume")
-    return d.groupBy("symbol", F.to_date(F.date_trunc("week", "day")).alias("dt")).agg(
+    d = d.groupBy("symbol", "dt").agg(
         F.min_by(vwap, "day").alias("open"),
         F.max("high").alias("high"),
         F.min("low").alias("low"),
         F.max_by(vwap, "day").alias("close"),
-        F.sum("lines").alias("lines"),
-        *[F.round(F.sum(c), 4).alias(c) for c in SUMMED],
+        *([F.sum("lines").alias("lines")] if side else []),
+        *[F.round(F.sum(c), 4).alias(c) for c in SUMMED if c in d.columns],
     )
+    return d.withColumn("symbol", F.format_string("S%09d", "symbol")) if kind == "supplier" else d
 
 
 def fx_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:

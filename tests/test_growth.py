@@ -6,7 +6,10 @@ import random
 from pyspark.sql import functions as F
 
 from rankpanel.functions import ranking as K
+from rankpanel.functions.rolling import ffill
 from rankpanel.operators import mining as M
+from rankpanel.sources import panel as P
+from rankpanel.sources.tables import weekly_facts
 
 
 def plan_of(d):
@@ -62,3 +65,32 @@ def test_split_average_rank_lays_out_values_only(spark, monkeypatch):
     monkeypatch.setattr(K, "cut_lineage", lambda x: laid.append(cut(x)) or laid[-1])
     got = K.ranked(d, "v", "rank", by=["g"], average=True, limit=0)
     assert got.count() == 5000 and [x.count() for x in laid] == [7]
+
+
+def joined(bars, columns):
+    """The calendar-aligned panel the long way round: every symbol on every date, joined to its rows."""
+    on_spine = P.spine(bars).join(bars, ["symbol", "dt"], "left")
+    keep = [c for c in bars.columns if c not in columns and c not in ("symbol", "dt")]
+    return on_spine.select("symbol", "dt", "bar", F.col("close").isNotNull().alias("traded"), *[ffill(c).alias(c) for c in columns], *keep)
+
+
+def test_align_writes_out_gaps(spark):
+    rnd = random.Random(8)
+    some = lambda x: x if rnd.random() < 0.7 else None
+    keys = [(s, f"2024-01-{d:02d}") for s in ("a", "b", "c", "d", None) for d in range(1, 29) if rnd.random() < 0.4 and d != 17]
+    keys += [("a", None), ("only", None), ("last", "2024-01-28")]
+    rows = [(s, d, some(rnd.random()), some(rnd.random()), some(rnd.randint(1, 9))) for s, d in keys]
+    bars = spark.createDataFrame(rows, "symbol string, dt string, close double, volume double, lines int").withColumn("dt", F.to_date("dt"))
+    cols = ("close", "volume")
+    got, want = P.align(bars, cols), joined(bars, cols)
+    assert got.columns == want.columns
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    assert P.align(bars.where("false"), cols).count() == 0
+
+
+def test_supplier_bars_move_lines_once(spark, sf):
+    d = weekly_facts(spark, sf, "supplier", side=False)
+    assert plan_of(d).split("== physical plan ==")[1].count("exchange ") == 1
+    names = [c for c in d.columns]
+    full = weekly_facts(spark, sf, "supplier").select(*names)
+    assert d.exceptAll(full).count() == 0 and full.exceptAll(d).count() == 0
