@@ -145,8 +145,11 @@ def subset_scores(items: DataFrame, k: int, w_factors: float, w_picks: float) ->
     return d.withColumn("total_score", F.col("quality") - w_factors * F.col("avg_jaccard_factors") - w_picks * F.col("avg_jaccard_picks"))
 
 
-def calibrate(d: DataFrame, features: Sequence[str], target: str, model: str = "ridge", folds: int = 5, seed: int = 42):
-    """Learned re-ranking with MLlib: impute the median, scale, fit ridge or boosted trees with cross-validation."""
+def calibrate(d: DataFrame, key: str, features: Sequence[str], target: str, model: str = "ridge", folds: int = 5, seed: int = 42):
+    """Learned re-ranking with MLlib: impute the median, scale, fit ridge or boosted trees with cross-validation.
+
+    Folds go round the rows in the order of a hash of their key: they are even, and do not hang on partitions.
+    """
     from pyspark.ml import Pipeline
     from pyspark.ml.evaluation import RegressionEvaluator
     from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
@@ -164,6 +167,11 @@ def calibrate(d: DataFrame, features: Sequence[str], target: str, model: str = "
         reg = GBTRegressor(featuresCol="features", labelCol=target, maxDepth=3, maxIter=20, seed=seed)
         grid = ParamGridBuilder().build()
     pipe = Pipeline(stages=[imp, vec, scale, reg])
-    cv = CrossValidator(estimator=pipe, estimatorParamMaps=grid, evaluator=RegressionEvaluator(labelCol=target, metricName="rmse"), numFolds=folds, seed=seed, parallelism=2)
-    fitted = cv.fit(d)
+    placed = cut_lineage(ranked(d.withColumn("__hash", F.xxhash64(key, F.lit(seed))), "__hash", "__place", tie=key))
+    folds = max(2, min(folds, placed.count()))  # no fold without a row
+    placed = placed.withColumn("__fold", (F.col("__place") % folds).cast("int")).drop("__hash", "__place")
+    cv = CrossValidator(
+        estimator=pipe, estimatorParamMaps=grid, evaluator=RegressionEvaluator(labelCol=target, metricName="rmse"), numFolds=folds, foldCol="__fold", seed=seed, parallelism=2
+    )
+    fitted = cv.fit(placed)
     return fitted, fitted.transform(d).drop("__raw", "features", *filled)

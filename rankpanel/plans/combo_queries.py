@@ -377,10 +377,18 @@ def c15(spark, sf):
     return d.select("combo", ((a > 0.05) | (dd > 0.55)).alias("basic_gate"), ((a >= F.col("a_q0")) & (F.col("c") <= F.col("c_q1"))).alias("quantile_gate"), preset.alias("preset"))
 
 
+def calibration(spark, sf):
+    """One row per combination in as few files as its size asks for: every job of a fit reads it again."""
+
+    def build():
+        d = rounded10(spark, sf).join(WF.collapse(best(spark, sf), oos_perf(spark, sf).drop("freq")).select("combo", "mean_oos_sharpe"), "combo")
+        return d.withColumn("size", F.col("size").cast("double")).hint("rebalance")
+
+    return stage(spark, sf, "calibration", build)
+
+
 def _calibrated(spark, sf, model):
-    d = rounded10(spark, sf).join(WF.collapse(best(spark, sf), oos_perf(spark, sf).drop("freq")).select("combo", "mean_oos_sharpe"), "combo")
-    d = d.withColumn("size", F.col("size").cast("double"))
-    fitted, scored = SR.calibrate(d, ["a", "b", "c", "d", "size"], "mean_oos_sharpe", model)
+    fitted, scored = SR.calibrate(calibration(spark, sf), "combo", ["a", "b", "c", "d", "size"], "mean_oos_sharpe", model)
     return rounded(scored.select("combo", "prediction", F.col("mean_oos_sharpe").alias("actual"), F.lit(min(fitted.avgMetrics)).alias("cv_rmse")), 4)
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from rankpanel.functions import ranking as K
 from rankpanel.functions.rolling import ffill
 from rankpanel.operators import mining as M
+from rankpanel.operators import search as SR
 from rankpanel.sources import panel as P
 from rankpanel.sources.tables import weekly_facts
 
@@ -94,3 +95,16 @@ def test_supplier_bars_move_lines_once(spark, sf):
     names = [c for c in d.columns]
     full = weekly_facts(spark, sf, "supplier").select(*names)
     assert d.exceptAll(full).count() == 0 and full.exceptAll(d).count() == 0
+
+
+def test_calibration_does_not_hang_on_partitions(spark):
+    rnd = random.Random(12)
+    rows = [(f"c{i:02d}", rnd.random(), None if i == 3 else rnd.random()) for i in range(24)]
+    d = spark.createDataFrame([(k, a, b, a - 0.5 * (b or 0.0) + 0.1 * rnd.random()) for k, a, b in rows], "combo string, a double, b double, y double")
+    seen = []
+    for parts in (1, 5):
+        fitted, scored = SR.calibrate(d.repartition(parts), "combo", ["a", "b"], "y")
+        seen.append((fitted.avgMetrics, sorted((r.combo, r.prediction) for r in scored.collect())))
+    (m1, p1), (m2, p2) = seen
+    assert all(math.isclose(x, y, rel_tol=1e-9) for x, y in zip(m1, m2, strict=True))
+    assert all(x[0] == y[0] and math.isclose(x[1], y[1], rel_tol=1e-9) for x, y in zip(p1, p2, strict=True))
