@@ -32,14 +32,16 @@ def avg_rank(value, by, descending: bool = False) -> Column:
     """Average rank, 1..n over the non-null values of the group."""
     v, by = col(value), _by(by)
     order = v.desc_nulls_last() if descending else v.asc_nulls_last()
-    r = F.rank().over(W.partitionBy(*by).orderBy(order))
-    ties = F.count(v).over(W.partitionBy(*by, v))
-    return F.when(v.isNotNull(), r + (ties - 1) / F.lit(2.0))
+    w = W.partitionBy(*by).orderBy(order)
+    # first and last position of the value: the count runs to the last row of equal value, in the same sort as the rank
+    return F.when(v.isNotNull(), (F.rank().over(w) + F.count(v).over(w)) / F.lit(2.0))
 
 
 def pct_rank(value, by) -> Column:
     """Average rank over the count of non-null values (not percent_rank, not cume_dist)."""
-    return avg_rank(value, by) / F.count(col(value)).over(W.partitionBy(*_by(by)))
+    v = col(value)
+    whole = W.partitionBy(*_by(by)).orderBy(v.asc_nulls_last()).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    return avg_rank(value, by) / F.count(v).over(whole)
 
 
 def ordinal_rank(value, by, tie="symbol", descending: bool = False) -> Column:
@@ -116,8 +118,8 @@ def ranked(
         w = W.partitionBy(*keys)
         if not average:
             return d.withColumn(out, F.row_number().over(w.orderBy(order, F.col(tie))))
-        ties = F.count(F.lit(1)).over(W.partitionBy(*keys, F.col(value)))
-        return d.withColumn(out, F.rank().over(w.orderBy(order)) + (ties - 1) / F.lit(2.0))
+        w = w.orderBy(order)
+        return d.withColumn(out, (F.rank().over(w) + F.count(F.lit(1)).over(w)) / F.lit(2.0))
     if not average:
         return split_positions(d, by, [order, F.col(tie).asc()], out)
     # an average rank hangs on how many rows have each value, not on their order: values are counted map-side,

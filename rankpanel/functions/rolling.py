@@ -142,7 +142,8 @@ def ewm_mean(
     y_t = a_t y_{t-1} + c_t x_t is unrolled to y_t = sum_i c_i x_i exp(D_i - D_t) with D the running
     sum of -ln a. The exponent is kept small by cutting each series into chunks of decay 40: a chunk
     needs only its own running sum and the last value of the chunk before it, because anything older
-    has decayed below double precision. Gaps decay by position, as for a row-position average.
+    has decayed below double precision. Gaps decay by position, as for a row-position average. Chunk numbers
+    rise with the order, so (chunk, order) is the same order: windows over the series share the sort of those over a chunk.
 
     `seed_rows` > 0 starts from the plain mean of the first rows (Wilder).
     """
@@ -169,6 +170,7 @@ def ewm_mean(
         d = d.withColumn(p + "b", F.coalesce(F.sum(F.when(has, grow)).over(wc), F.lit(0.0)) * shrink)
         last = F.col(p + "i") % chunk_len == chunk_len - 1
         carry = F.exp(-(pos + 1) * F.lit(rate))
+        before = W.partitionBy(*by).orderBy(p + "k", order).rowsBetween(W.unboundedPreceding, -1)
         num = F.col(p + "a") + F.coalesce(F.last(F.when(last, F.col(p + "a")), True).over(before), F.lit(0.0)) * carry
         den = F.col(p + "b") + F.coalesce(F.last(F.when(last, F.col(p + "b")), True).over(before), F.lit(0.0)) * carry
         d = d.withColumn(out, F.when((F.col(p + "n") >= min_periods) & (den > 0), num / den))
@@ -194,8 +196,9 @@ def ewm_mean(
     pos = F.col(p + "D") - F.col(p + "k") * F.lit(DECAY)
     d = d.withColumn(p + "s", F.coalesce(F.sum(F.col(p + "c") * F.exp(pos)).over(wc) * F.exp(-pos), F.lit(0.0)))
     # value and position of the previous chunk's last row: the row just before this chunk began
-    start = F.struct(F.lag(p + "s").over(ts(by, order)).alias("s"), F.lag(p + "D").over(ts(by, order)).alias("D"))
-    d = d.withColumn(p + "o", F.when(F.lag(p + "k").over(ts(by, order)) < F.col(p + "k"), start))
+    by_chunk = W.partitionBy(*by).orderBy(p + "k", order)
+    start = F.struct(F.lag(p + "s").over(by_chunk).alias("s"), F.lag(p + "D").over(by_chunk).alias("D"))
+    d = d.withColumn(p + "o", F.when(F.lag(p + "k").over(by_chunk) < F.col(p + "k"), start))
     d = d.withColumn(p + "o", F.last(p + "o", True).over(wc))
     carried = F.when(F.col(p + "o").isNotNull(), F.col(p + "o.s") * F.exp(F.col(p + "o.D") - F.col(p + "D")))
     y = F.col(p + "s") + F.coalesce(carried, F.lit(0.0))

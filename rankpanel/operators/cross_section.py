@@ -7,6 +7,7 @@ joined back, so the panel itself is not shuffled by date; only rank-based steps
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -60,7 +61,22 @@ def standardise(df: DataFrame, names: Iterable[str], bounded: Iterable[str]) ->
     free = [n for n in names if n not in bounded]
     d = zscore(df, free, winsorise=True) if free else df
     ranks = [n for n in names if n in bounded]
-    return d.select(*[(pct_rank(c, "dt") - 0.5).alias(c) if c in ranks else F.col(c) for c in d.columns])
+    return centred_ranks(d, ranks) if ranks else d
+
+
+def centred_ranks(df: DataFrame, names: Sequence[str], ids: Sequence[str] = ("dt", "symbol")) -> DataFrame:
+    """Every named column to its percentage rank of the date less a half; `ids` name a row.
+
+    All columns are ranked in one sort of narrow rows (id, column, value) and joined back: a window per column would
+    carry the whole row through a sort for each of them, and a task would hold them all.
+    """
+    place = {n: i for i, n in enumerate(names)}
+    cells = F.posexplode(F.array(*[F.col(n).cast("double") for n in names])).alias("__c", "__v")
+    d = df.select(*ids, cells).where("__v is not null").select(*ids, "__c", pct_rank("__v", [ids[0], "__c"]).alias("__p"))
+    d = d.groupBy(*ids).agg(*[(F.max(F.when(F.col("__c") == i, F.col("__p"))) - 0.5).alias(f"__p{i}") for i in place.values()])
+    same = reduce(lambda x, y: x & y, [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in ids])
+    out = [F.col(f"r.__p{place[c]}").alias(c) if c in place else F.col(f"l.{c}") for c in df.columns]
+    return df.alias("l").join(d.alias("r"), same, "left").select(*out)
 
 
 def processing_report(df: DataFrame, names: Sequence[str], bounded: Iterable[str]) -> DataFrame:

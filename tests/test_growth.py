@@ -6,7 +6,9 @@ import random
 from pyspark.sql import functions as F
 
 from rankpanel.functions import ranking as K
+from rankpanel.functions import rolling as R
 from rankpanel.functions.rolling import ffill
+from rankpanel.operators import cross_section as X
 from rankpanel.operators import mining as M
 from rankpanel.operators import search as SR
 from rankpanel.sources import panel as P
@@ -108,3 +110,30 @@ def test_calibration_does_not_hang_on_partitions(spark):
     (m1, p1), (m2, p2) = seen
     assert all(math.isclose(x, y, rel_tol=1e-9) for x, y in zip(m1, m2, strict=True))
     assert all(x[0] == y[0] and math.isclose(x[1], y[1], rel_tol=1e-9) for x, y in zip(p1, p2, strict=True))
+
+
+def test_bounded_factors_share_one_sort(spark):
+    rnd = random.Random(15)
+    names = [f"f{i}" for i in range(6)]
+    rows = [(d, f"s{j}" if j else None, rnd.random(), *[rnd.choice([None, 1.0, 2.0, 2.0, rnd.random()]) for _ in names]) for d in (1, 2, 3) for j in range(9)]
+    rows.append((3, "empty", 0.5, *[None] * len(names)))
+    d = spark.createDataFrame(rows, "dt int, symbol string, keep double, " + ", ".join(f"{n} double" for n in names))
+    got = X.centred_ranks(d, names)
+    want = {}
+    for i, n in enumerate(names):
+        cells = [(r[0], r[1], r[3 + i]) for r in rows]
+        full = {k: sum(c[0] == k and c[2] is not None for c in cells) for k in (1, 2, 3)}
+        want |= {(k, s, n): v / full[k] - 0.5 for (k, s), v in ranks(cells).items()}
+    assert got.columns == d.columns and got.count() == len(rows)
+    for r in got.collect():
+        assert all(r[n] == want.get((r.dt, r.symbol, n)) for n in names) and r.keep is not None
+    plan = plan_of(X.standardise(d, names, names)).split("== physical plan ==")[1]
+    assert plan.count("window [") <= 2 and plan.count("sort [") <= 4
+    assert plan_of(d.select(K.pct_rank("f0", "dt"))).split("== physical plan ==")[1].count("sort [") == 1
+
+
+def test_recursive_average_sorts_twice(spark):
+    d = spark.createDataFrame([("a", i, float(i % 7)) for i in range(20)], "symbol string, dt int, x double")
+    for adjust in (False, True):
+        plan = plan_of(R.ewm_mean(d, "x", "y", span=14, adjust=adjust)).split("== physical plan ==")[1]
+        assert plan.count("sort [") == 2
